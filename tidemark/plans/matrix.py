@@ -43,7 +43,10 @@ def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) ->
 
 
 def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VETTED) -> DataFrame:
-    """The matrix of ``rows``: row id, day, labels if present, and numeric features (NULL -> 0)."""
+    """The matrix of ``rows``: row id, day, labels if present, and numeric features (NULL -> 0).
+
+    Category columns hold their codes under their own names.
+    """
     carried = [c for c in _CARRIED if c in rows.columns]
     x, names = rows, []
 
@@ -93,7 +96,8 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
         before = set(x.columns)
         x = lookback.topic_novelty(x, fitted.history)
         names += [c for c in x.columns if c not in before]
-    return x.select(*carried, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names])
+    return x.select(*carried, *[F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_code"))
+                                for c in names])
 
 
 def feature_names(matrix: DataFrame) -> list[str]:
