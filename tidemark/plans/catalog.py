@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalog_log, catalog_matrix, catalog_metrics
+from tidemark.plans import catalog_log, catalog_matrix, catalog_metrics, catalog_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (catalog_log, catalog_matrix, catalog_metrics):
+for _part in (catalog_log, catalog_matrix, catalog_metrics, catalog_text):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
