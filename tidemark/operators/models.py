@@ -68,11 +68,12 @@ def forest(name: str = "forest", trees: int = 50, depth: int = 10) -> Learner:
 
 
 def linear(name: str = "logistic", strength: float = 1.0, l1_share: float = 0.0, rows: int = 1,
-           standardised: bool = False, weight: str | None = None) -> Learner:
+           standardised: bool = False, weight: str | None = None,
+           iterations: int = 100) -> Learner:
     """Logistic regression; ``strength`` is the inverse penalty on the summed loss of ``rows``."""
     def make(label: str) -> Estimator:
-        est = LogisticRegression(labelCol=label, featuresCol="features", maxIter=100,
-                                 regParam=1.0 / (strength * rows), elasticNetParam=l1_share,
+        est = LogisticRegression(labelCol=label, featuresCol="features", maxIter=iterations,
+                                 tol=1e-5, regParam=1.0 / (strength * rows), elasticNetParam=l1_share,
                                  standardization=not standardised)
         return est.setWeightCol(weight) if weight else est
     return Learner(name, make, weight)
@@ -143,7 +144,7 @@ def out_of_fold(frames: list[FoldFrame], learner: Learner | Callable[[FoldFrame]
         scored = vectors(frame.val(), frame.features)
         for j, h in enumerate(labels):
             scored = score_with(models[i * len(labels) + j], scored, scores[h])
-        part = scored.select(ID, F.lit(frame.number).alias("fold"), *scores.values(),
+        part = scored.select(ID, F.lit(frame.number).alias("fold"), *[scores[h] for h in labels],
                              *LABELS.values(), *(keep or []))
         out = part if out is None else out.unionByName(part)
     return out

@@ -68,23 +68,36 @@ def with_overall(counts: DataFrame) -> DataFrame:
     return named.withColumns({f"g{h}": rates.select(f"g{h}").scalar() for h in LABELS})
 
 
+def _plain() -> list[Column]:
+    return [(F.col(f"s{h}") / F.col("n")).alias(f"{y}_rate") for h, y in LABELS.items()]
+
+
+def _confident(min_support: int) -> list[Column]:
+    cols: list[Column] = []
+    for h, y in LABELS.items():
+        rate, error, low = confidence(F.col(f"s{h}"), F.col("n"), F.col(f"g{h}"), min_support)
+        cols += [rate.alias(f"{y}_rate_smoothed"), error.alias(f"{y}_rate_se"),
+                 low.alias(f"{y}_rate_lower95")]
+    return cols
+
+
 def key_profile(counts: DataFrame) -> DataFrame:
     """Plain label rates and row count per key value."""
     return counts.where(F.col("key_name") != EVERY).select(
-        "key_name", "key_value", F.col("n").alias("count"),
-        *[(F.col(f"s{h}") / F.col("n")).alias(f"{y}_rate") for h, y in LABELS.items()])
+        "key_name", "key_value", F.col("n").alias("count"), *_plain())
 
 
 def confidence_profile(counts: DataFrame, min_support: int = 0) -> DataFrame:
     """Smoothed label rate, standard error and lower bound per key value."""
     keys = ["fold"] if "fold" in counts.columns else []
-    cols: list[Column] = []
-    for h, y in LABELS.items():
-        rate, error, low = confidence(F.col(f"s{h}"), F.col("n"), F.col(f"g{h}"), min_support)
-        cols += [rate.alias(f"{y}_rate_smoothed"), error.alias(f"{y}_rate_se"),
-                 low.alias(f"{y}_rate_lower95")]
     return with_overall(counts).select(*keys, "key_name", "key_value",
-                                       F.col("n").alias("count"), *cols)
+                                       F.col("n").alias("count"), *_confident(min_support))
+
+
+def full_profile(counts: DataFrame) -> DataFrame:
+    """Plain and smoothed rates side by side, so that both blocks need one join per key."""
+    return with_overall(counts).select("key_name", "key_value", F.col("n").alias("count"),
+                                       *_plain(), *_confident(0))
 
 
 def target_encoding(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:

@@ -27,19 +27,19 @@ class FittedTables:
     codes: DataFrame
     people: DataFrame | None
     keys: DataFrame | None
-    confidence: DataFrame | None
 
 
 def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) -> FittedTables:
     codes = materialise(encoding.category_codes([train, history], CATEGORICAL + [TRAINER]), "codes")
-    people = keys = conf = None
+    people = keys = None
     if groups.person_history:
         people = materialise(profiles.person_profile(history), "people")
     if groups.aggregates or groups.confidence:
         counts = materialise(profiles.key_counts(history, list(PROFILE_KEYS)), "keycounts")
-        keys = profiles.key_profile(counts) if groups.aggregates else None
-        conf = profiles.confidence_profile(counts) if groups.confidence else None
-    return FittedTables(history, codes, people, keys, conf)
+        make = (profiles.full_profile if groups.aggregates and groups.confidence else
+                profiles.key_profile if groups.aggregates else profiles.confidence_profile)
+        keys = materialise(make(counts), "keys")
+    return FittedTables(history, codes, people, keys)
 
 
 def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VETTED) -> DataFrame:
@@ -75,14 +75,9 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
         flagged = fitted.people.withColumn("has_prior_history", F.lit(1))
         x = x.join(flagged, PERSON, "left")
         names += [c for c in flagged.columns if c != PERSON]
-    for block in (fitted.keys if groups.aggregates else None,
-                  fitted.confidence if groups.confidence else None):
-        if block is None:
-            continue
-        # Both blocks hold the row count; it is emitted once.
-        block = block.drop("count") if "trainer_count" in x.columns else block
+    if groups.aggregates or groups.confidence:
         before = set(x.columns)
-        x = profiles.attach_all(x, block)
+        x = profiles.attach_all(x, fitted.keys)
         names += [c for c in x.columns if c not in before]
     if groups.interactions:
         before = set(x.columns)
@@ -102,3 +97,30 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
 
 def feature_names(matrix: DataFrame) -> list[str]:
     return [c for c in matrix.columns if c not in _CARRIED and c not in ("fold", "role", "weight")]
+
+
+# Column name patterns of the blocks, to read a smaller set of blocks from a written wide matrix.
+_BLOCKS = {
+    "direct": lambda c: c in CATEGORICAL or c in BINARY,
+    "dates": lambda c: c.startswith(("month", "day_", "quarter", "week_", "is_")),
+    "topics": lambda c: c in ("topic_count", "has_topic_trained_on") or c.startswith("topic_cat_"),
+    "trainer": lambda c: c in ("trainer_encoded", "has_multiple_trainers"),
+    "person_history": lambda c: "_x_" not in c and (c.startswith("prior_")
+                                                    or c == "has_prior_history"),
+    "aggregates": lambda c: _keyed(c) and c.endswith(("_rate", "_count")),
+    "confidence": lambda c: _keyed(c) and c.endswith(("_smoothed", "_se", "_lower95", "_count")),
+    "interactions": lambda c: "_x_" in c,
+    "recency": lambda c: c.startswith(("days_since_", "trainings_last_", "recent_")),
+    "quality": lambda c: c in ("topic_diversity", "topic_novelty", "repeat_topic_ratio"),
+}
+
+
+def _keyed(column: str) -> bool:
+    return "_x_" not in column and column.startswith(
+        tuple(f"{p}_" for p in PROFILE_KEYS.values())) and column != "trainer_encoded"
+
+
+def block_columns(columns: list[str], groups: FeatureGroups) -> list[str]:
+    """The columns of a wide matrix that the given blocks would have produced."""
+    on = [test for name, test in _BLOCKS.items() if getattr(groups, name)]
+    return [c for c in columns if any(test(c) for test in on)]

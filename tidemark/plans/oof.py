@@ -25,6 +25,8 @@ from tidemark.plans.scores import log_folds
 from tidemark.sources import workspace
 from tidemark.sources.training_log import TrainingLog
 
+# Blocks of the wide matrix that every larger feature set is read from.
+EVERYTHING = VETTED.but(interactions=True, quality=True)
 GROUP_SETS: dict[str, FeatureGroups] = {"minimal": MINIMAL, "vetted": VETTED, "warm": WARM,
                                         "cold": COLD}
 TEXT_WIDTH = 16
@@ -47,20 +49,30 @@ def fold_matrix(log: TrainingLog, fold: Fold, groups: FeatureGroups) -> DataFram
     return _roles(x, fold)
 
 
-def fold_frames(spark: SparkSession, sf_dir: str, name: str = "minimal",
-                groups: FeatureGroups | None = None) -> list[FoldFrame]:
-    """Fold matrices of a feature-group set, each written once per application."""
+def _written(spark: SparkSession, sf_dir: str, name: str, groups: FeatureGroups) -> list[FoldFrame]:
     log = TrainingLog(spark, sf_dir)
     made = log_folds(log)
-    wanted = groups or GROUP_SETS[name]
 
     def build(fold: Fold) -> DataFrame:
         return workspace.shared(spark, f"fold-{name}-{fold.number}:{sf_dir}",
-                                lambda: fold_matrix(log, fold, wanted))
+                                lambda: fold_matrix(log, fold, groups))
     frames = models.in_parallel([lambda f=f: build(f) for f in made])
     return [FoldFrame(f.number, x, matrix.feature_names(x)) for f, x in zip(made, frames)]
 
 
+def fold_frames(spark: SparkSession, sf_dir: str,
+                groups: FeatureGroups = MINIMAL) -> list[FoldFrame]:
+    """Fold matrices of a feature set. The minimal set and one wide matrix are written once per
+    application; every other set is a column subset of the wide one, pruned by the file scan."""
+    if groups == MINIMAL:
+        return _written(spark, sf_dir, "minimal", MINIMAL)
+    wide = _written(spark, sf_dir, "everything", EVERYTHING)
+    return [FoldFrame(f.number, f.rows.select(
+        *[c for c in f.rows.columns if c not in f.features],
+        *matrix.block_columns(f.features, groups)), matrix.block_columns(f.features, groups))
+        for f in wide]
+
+
 def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """An out-of-fold score set, written once per application."""
     return workspace.shared(spark, f"oof-{name}:{sf_dir}", build)
@@ -158,7 +170,7 @@ def scaled_frames(frames: list[FoldFrame], edit: Callable[[DataFrame], DataFrame
 
 
 def elastic_net(spark, sf_dir, strength: float = 0.5, l1_share: float = 0.3) -> DataFrame:
-    frames = scaled_frames(fold_frames(spark, sf_dir, "vetted"), linear_interactions)
+    frames = scaled_frames(fold_frames(spark, sf_dir, VETTED), linear_interactions)
     return models.out_of_fold(frames, lambda f: models.linear(
         "elastic", strength, l1_share, f.train().count(), standardised=True))
 
@@ -252,7 +264,7 @@ def warm_cold(spark, sf_dir, **options) -> DataFrame:
     """Warm and cold experts mixed by the gate's probability of a known person; with cohort."""
     settings = {"maxIter": 10, **options}
     gates = gate_frames(spark, sf_dir)
-    experts = [models.out_of_fold(fold_frames(spark, sf_dir, name),
+    experts = [models.out_of_fold(fold_frames(spark, sf_dir, GROUP_SETS[name]),
                                   models.boosted(name, **settings)) for name in ("warm", "cold")]
     labels, scores = {"gate": "has_prior_history"}, {"gate": "w"}
     gate = models.out_of_fold(gates, models.boosted("gate", **settings), labels, scores,
