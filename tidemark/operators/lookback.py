@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DAY, GROUP, ID, LOOKBACK_DAYS, NO_HISTORY_DAYS, PERSON, TOPICS
+from tidemark.sources.workspace import materialise
 
 _COUNT = "_events"
 
@@ -38,7 +39,11 @@ def _frames(key: str | None, day: str):
 
 
 def _attach(probe: DataFrame, side: DataFrame, key: str | None, day: str) -> DataFrame:
-    return probe.join(side, [key, day] if key else [day], "left")
+    if key is None:
+        # The calendar side is written first: its true size lets the planner broadcast it, so the
+        # rows need not be shuffled by day.
+        return probe.join(materialise(side, "calendar"), [day], "left")
+    return probe.join(side, [key, day], "left")
 
 
 def recency_intensity(probe: DataFrame, history: DataFrame, key: str = PERSON,

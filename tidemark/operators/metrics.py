@@ -139,13 +139,14 @@ def recall_at(rows: DataFrame, keys: list[str], shares: list[float],
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_pos"))
     wanted = sizes.select("*", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
     wanted = wanted.withColumn("_k", F.ceil(F.col("_n") * F.col("share")))
-    scored = cum.join(wanted, keys)
+    # One row per (key, share): keys name runs and horizons, never data values.
+    scored = cum.join(F.broadcast(wanted), keys)
     above = (F.col("n_before") + F.col("n")) <= F.col("_k")
     whole = scored.groupBy(*keys, "share", "_pos").agg(
         F.coalesce(F.sum(F.when(above, F.col("pos"))), F.lit(0)).alias("_sure"))
     cut = scored.where(~above & (F.col("n_before") < F.col("_k"))).select(
         *keys, "share", "p", (F.col("_k") - F.col("n_before")).alias("_take"))
-    tied = rows.select(*keys, row_id, "p", "y").join(cut, [*keys, "p"])
+    tied = rows.select(*keys, row_id, "p", "y").join(F.broadcast(cut), [*keys, "p"])
     placed = ordered_position(tied, [*keys, "share"], [F.col(row_id)], "_pos_in_tie")
     extra = (placed.where(F.col("_pos_in_tie") <= F.col("_take"))
              .groupBy(*keys, "share").agg(F.sum("y").alias("_extra")))
@@ -177,7 +178,7 @@ def separation_auc(rows: DataFrame, keys: list[str], rates: dict[str, float]) ->
     for h, r in rates.items():
         rate = F.when(F.col("horizon") == h, r).otherwise(rate)
     sizes = sizes.withColumn("_k", F.floor(F.col("_n") * rate))
-    c = cum.join(sizes, keys)
+    c = cum.join(F.broadcast(sizes), keys)  # one row per key
     after = F.col("_n") - F.col("n_before") - F.col("n")
 
     def take(passed: Column) -> Column:

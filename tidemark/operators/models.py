@@ -16,7 +16,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import ID, LABELS, SCORES, SEED
@@ -33,8 +33,9 @@ FIT_THREADS = 8
 
 def in_parallel(tasks: list[Callable], threads: int = FIT_THREADS) -> list:
     """Run independent driver-side tasks concurrently, results in order."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(tasks)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(wrap(t)) for t in tasks]]
 
 
 @dataclass(frozen=True)

@@ -57,7 +57,8 @@ def exact_percentiles(rows: DataFrame, keys: list[str], score: str,
     """Linearly interpolated percentiles per key, exact for any number of rows."""
     cum = cumulative_counts(rows, keys, score)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    cum = cum.join(sizes, keys) if keys else cum.withColumn(
+    # One row per key: keys name runs and horizons, never data values.
+    cum = cum.join(F.broadcast(sizes), keys) if keys else cum.withColumn(
         "_total", rows.select(F.count(F.lit(1))).scalar())
     aggs = []
     for name, share in shares.items():

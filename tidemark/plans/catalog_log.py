@@ -218,10 +218,10 @@ ORACLES["entity_tokens"] = sql("""SELECT row_id, farmer_name AS person,
 def _fold_table(log: TrainingLog, made: list[folds.Fold]) -> DataFrame:
     edges = F.array(*[F.struct(F.lit(f.number).alias("fold"), F.lit(f.cutoff).alias("cutoff"),
                                F.lit(f.end).alias("until")) for f in made])
-    roles = folds.fold_roles(log.train.select(DAY), made)
-    counts = roles.groupBy("fold").agg(
-        F.count_if(F.col("role") == "train").alias("n_train"),
-        F.count_if(F.col("role") == "val").alias("n_val"))
+    days = log.train.groupBy(DAY).agg(F.count(F.lit(1)).alias("n"))
+    counts = folds.fold_roles(days, made).groupBy("fold").agg(*[
+        F.sum(F.when(F.col("role") == role, F.col("n"))).alias(f"n_{role}")
+        for role in ("train", "val")])
     match = F.element_at(F.filter(edges, lambda e: e.fold == F.col("fold")), 1)
     return counts.select("fold", r6(match.cutoff).alias("cutoff"), r6(match.until).alias("until"),
                          "n_train", "n_val")
@@ -278,10 +278,14 @@ FROM train""")
 def asof_prior(spark, sf_dir):
     """History rows and persons each fold may see, and their label sums."""
     log = TrainingLog(spark, sf_dir)
-    seen = folds.fold_roles(history_and_train(log).select(DAY, PERSON, *LABELS.values()),
-                            log_folds(log)).where(F.col("role") == "train")
-    people = seen.groupBy("fold", PERSON).agg(
+    made = log_folds(log)
+    # Each row is counted once, in the first fold that sees it; later folds add these counts up.
+    parts = history_and_train(log).groupBy(
+        folds.first_training_fold(made, F.col(DAY)).alias("first"), PERSON).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in LABELS.values()])
+    later = F.filter(F.array(*[F.lit(f.number) for f in made]), lambda f: f >= F.col("first"))
+    people = parts.withColumn("fold", F.explode(later)).groupBy("fold", PERSON).agg(
+        *[F.sum(c).alias(c) for c in ("n", *LABELS.values())])
     return people.groupBy("fold").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_persons"),
         *[F.sum(y).alias(f"sum_{h}") for h, y in LABELS.items()])

@@ -330,11 +330,15 @@ def text_view(spark, sf_dir, k: int = TEXT_WIDTH) -> DataFrame:
         rows = _roles(log.train, fold).select(ID, "role", *LABELS.values(),
                                               fields.topic_text(F.col(TOPICS)).alias("text"))
         train = rows.where(F.col("role") == "train")
-        words = workspace.materialise(text.fit_vocabulary(train, ID, "text"), "vocabulary")
-        cells = workspace.materialise(text.tfidf(rows, words, ID, "text").select(
-            F.col(ID).alias("row"), F.col("term").alias("col"), F.col("weight").alias("value")),
-            "cells")
-        fitted = cells.join(train.select(F.col(ID).alias("row")), "row", "left_semi")
+        keys = [ID, "role"]
+        counts = workspace.materialise(text.term_counts(rows, keys, "text"), "terms")
+        words = workspace.materialise(text.fit_vocabulary(
+            counts.where(F.col("role") == "train"), train.select(F.count(F.lit(1))).scalar()),
+            "vocabulary")
+        cells = workspace.materialise(text.tfidf(counts, words, keys).select(
+            F.col(ID).alias("row"), "role", F.col("term").alias("col"),
+            F.col("weight").alias("value")), "cells")
+        fitted = cells.where(F.col("role") == "train")
         right, _ = factor.truncated_svd(fitted, k, iterations=3)
         out = factor.attach_embedding(rows.drop("text"), factor.project(cells, right, k), ID, k,
                                       "text")
