@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import LABELS
+from tidemark.config import FARM_KEYWORDS, LABELS
 from tidemark.functions import fields, probability
 from tidemark.functions.calendar import date_parts
 from tidemark.operators import (blending, encoding, folds, gates, graph, lookback, metrics,
@@ -142,6 +142,21 @@ def test_fold_fractions(spark):
     assert first.cutoff == pytest.approx(360)
 
 
+def test_embargo_only_shortens_training(spark):
+    rows = spark.createDataFrame([(d,) for d in range(0, 1201)], "day int")
+    plain, gapped = folds.forward_folds(rows), folds.forward_folds(rows, embargo_days=100)
+    assert [(f.cutoff, f.end) for f in plain] == [(f.cutoff, f.end) for f in gapped]
+    counts = [folds.fold_roles(rows, f).groupBy("fold", "role").count().collect() for f in (plain, gapped)]
+    size = [{(r["fold"], r["role"]): r["count"] for r in c} for c in counts]
+    assert all(size[1][k] == n - (100 if k[1] == "train" else 0) for k, n in size[0].items())
+
+
+def test_farm_keywords(spark):
+    df = spark.createDataFrame([(["Calf feeding", "PPE use"],)], "t array<string>")
+    flags = fields.keyword_flags(F.col("t"), FARM_KEYWORDS)
+    assert one(df.select(*flags.values())) == [(1, 0, 0, 1)]
+
+
 def test_holdout_null_goes_to_validation(spark):
     df = spark.createDataFrame([(1,), (9,), (None,)], "day int")
     assert one(df.select(folds.holdout_role(F.col("day"), F.lit(5)))) == [("train",), ("val",), ("val",)]

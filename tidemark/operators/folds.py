@@ -13,11 +13,15 @@ from tidemark.operators.ranking import ordered_position
 
 @dataclass(frozen=True)
 class Fold:
-    """Rows before ``cutoff`` train the fold; rows in [cutoff, end) validate it."""
+    """Rows before ``cutoff`` train the fold; rows in [cutoff, end) validate it.
+
+    With an embargo, training rows of the last days before the cut-off are left out.
+    """
 
     number: int
     cutoff: float
     end: float
+    embargo: float = 0.0
 
 
 def _span(rows: DataFrame, day: str) -> tuple[float, float]:
@@ -28,7 +32,7 @@ def _span(rows: DataFrame, day: str) -> tuple[float, float]:
 def _non_empty(rows: DataFrame, folds: list[Fold], day: str) -> list[Fold]:
     seen = []
     for f in folds:
-        seen.append(F.max((F.col(day) < f.cutoff).cast("int")).alias(f"t{f.number}"))
+        seen.append(F.max(in_training(f, F.col(day)).cast("int")).alias(f"t{f.number}"))
         seen.append(F.max(in_validation(f, F.col(day)).cast("int")).alias(f"v{f.number}"))
     flags = rows.agg(*seen).first()
     return [f for f in folds if flags[f"t{f.number}"] and flags[f"v{f.number}"]]
@@ -38,13 +42,13 @@ def forward_folds(rows: DataFrame, n: int = 5, min_share: float = 0.3,
                   day: str = DAY, embargo_days: float = 0.0) -> list[Fold]:
     """Rolling-forward folds; the last end is exclusive, so rows of the last day never validate.
 
-    ``embargo_days`` moves validation starts back from the training cut-off (default none).
+    ``embargo_days`` leaves out training rows whose label window could reach past the cut-off
+    (default none, as published).
     """
     low, high = _span(rows, day)
     cuts = [low + (high - low) * (min_share + (i + 1) * (1 - min_share) / (n + 1))
             for i in range(n + 1)]
-    folds = [Fold(i + 1, cuts[i] - embargo_days, cuts[i + 1]) for i in range(n)]
-    return _non_empty(rows, folds, day) if not embargo_days else folds
+    return _non_empty(rows, [Fold(i + 1, cuts[i], cuts[i + 1], embargo_days) for i in range(n)], day)
 
 
 def cutoff_folds(rows: DataFrame, n: int = 5, min_share: float = 0.3, day: str = DAY) -> list[Fold]:
@@ -55,7 +59,7 @@ def cutoff_folds(rows: DataFrame, n: int = 5, min_share: float = 0.3, day: str =
 
 
 def in_training(fold: Fold, day: Column) -> Column:
-    return day < fold.cutoff
+    return day < fold.cutoff - fold.embargo
 
 
 def in_validation(fold: Fold, day: Column) -> Column:
@@ -74,7 +78,7 @@ def first_training_fold(folds: list[Fold], day: Column) -> Column:
     """Earliest fold that trains on the row; training sets are nested, so later folds do too."""
     expr = F.lit(None).cast("int")
     for f in sorted(folds, key=lambda f: -f.cutoff):
-        expr = F.when(day < f.cutoff, f.number).otherwise(expr)
+        expr = F.when(in_training(f, day), f.number).otherwise(expr)
     return expr
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.config import ID, LABELS, SCORES
+from tidemark.functions.probability import clip, ordered
 from tidemark.operators import blending, calibration, metrics
 from tidemark.plans import oof, search
 from tidemark.sources import sinks, workspace
@@ -78,12 +79,12 @@ def cohort_calibration(spark, sf_dir):
 
 @query
 def text_view_oof(spark, sf_dir):
-    return oof.text_view(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "text", lambda: oof.text_view(spark, sf_dir))
 
 
 @query
 def graph_view_oof(spark, sf_dir):
-    return oof.graph_view(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "graph", lambda: oof.graph_view(spark, sf_dir))
 
 
 @query
@@ -139,6 +140,26 @@ def model_blend(spark, sf_dir):
                                  ["gbt", "isotonic", "hazard"], steps=4, fine=4)
 
 
+@query
+def multi_view_blend(spark, sf_dir):
+    """Tabular, text and graph views: the blend with the best score less half its fold spread,
+    clipped and ordered."""
+    names = [ID, "fold", *SCORES.values(), *LABELS.values()]
+    views = {"tabular": _calibrated(spark, sf_dir).where(F.col("model") == "isotonic"),
+             "text": text_view_oof(spark, sf_dir), "graph": graph_view_oof(spark, sf_dir)}
+    long = None
+    for view, rows in views.items():
+        part = rows.select(F.lit(view).alias("model"), *names)
+        long = part if long is None else long.unionByName(part)
+    long = workspace.materialise(long, "views")
+    best = blending.search_blend(long, list(views), steps=4, fine=4, spread_penalty=0.5).first()
+    mixed = blending.weighted_blend(long, {v: best[f"w_{v}"] for v in views},
+                                    [ID, "fold", *LABELS.values()])
+    fixed = [clip(p) for p in ordered(*[clip(F.col(p)) for p in SCORES.values()])]
+    return mixed.select(ID, "fold", *[c.alias(p) for c, p in zip(fixed, SCORES.values())],
+                        *LABELS.values())
+
+
 @query
 def importance(spark, sf_dir):
     return search.importance(spark, sf_dir, LABELS["07"])
