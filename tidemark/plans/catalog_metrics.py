@@ -425,15 +425,21 @@ def fold_mean_scores(spark, sf_dir):
     made = log_folds(log)
     counts = workspace.materialise(profiles.key_counts(log.train, ["ward"], made), "counts")
     rates = profiles.with_overall(counts).select("fold", F.col("key_value").alias("ward"), *[
-        probability.smoothed(F.col(f"s{h}"), F.col("n"), F.col(f"g{h}")).alias(p)
-        for h, p in SCORES.items()])
-    scored = log.test.select(ID, "ward").join(workspace.materialise(rates, "rates"), "ward")
+        probability.smoothed(F.col(f"s{h}"), F.col("n"), F.col(f"g{h}")).alias(f"r{h}")
+        for h in LABELS])
+    # Every row is scored by every fold; wards a fold has not seen get its overall rate.
+    numbers = F.array(*[F.lit(f.number) for f in made])
+    rows = log.test.select(ID, "ward", F.explode(numbers).alias("fold"))
+    scored = (rows.join(workspace.materialise(rates, "rates"), ["fold", "ward"], "left")
+              .join(F.broadcast(profiles.overall_rates(counts)), "fold")
+              .select(ID, *[F.coalesce(f"r{h}", f"g{h}").alias(p) for h, p in SCORES.items()]))
     out = blending.mean_scores(scored, [ID])
     return out.select(ID, *[r6(p).alias(p) for p in SCORES.values()])
 
 
 ORACLES["fold_mean_scores"] = sql(
-    f"SELECT row_id, {labels('round(avg(r{h}), 6) AS p{h}')} FROM test JOIN w USING (ward) "
+    f"SELECT row_id, {labels('round(avg(coalesce(r{h}, g{h})), 6) AS p{h}')} FROM test "
+    "CROSS JOIN (SELECT * FROM fold_rate) f LEFT JOIN w ON w.fold = f.fold AND w.ward = test.ward "
     "GROUP BY row_id", {"w": f"""SELECT fold, ward,
         {labels('(sum({y}) + 10e0 * any_value(g{h})) / (count(*) + 10e0) AS r{h}')}
         FROM fold_train JOIN fold_rate USING (fold) GROUP BY fold, ward"""})
