@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, simhash, urls
+from tidemark.llm import packing, quality, simhash, urls
 from tidemark.llm.tables import table
 
 
@@ -24,9 +24,14 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), length=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
+    "op4_packing": op4_packing,
 }
 ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE}
