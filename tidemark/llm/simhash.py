@@ -92,20 +92,18 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     """
     if not 0 <= max_bits <= 64:
         raise ValueError("max_bits must be between 0 and 64")
-    variants = _variants(fps, max_bits)
-    met = write(variants.groupBy("bit", "value").agg(F.count("*").alias("n"), F.min("fp").alias("a"),
-                                                     F.max("fp").alias("b")).where("n > 1"), "variants")
-    pairs = met.where("n = 2").select("a", "b")
-    small = "n > 2" if max_bits != 2 else f"n > 2 and n <= {int(bucket)}"
-    mid = variants.join(met.where(small).select("bit", "value"), ["bit", "value"])
-    other = mid.select("bit", "value", F.col("fp").alias("b"))
-    pairs = pairs.union(mid.withColumnRenamed("fp", "a").join(other, ["bit", "value"])
-                        .where("a < b").select("a", "b"))
-    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+    variants, key = _variants(fps, max_bits), ["bit", "value"]
+    # Which variants are shared is counted first, in a sum that a hot one cannot skew; the members
+    # follow by a merge join, which adaptive execution splits, so the plan is the same at any size.
+    met = write(variants.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "variants")
+    shared = write(variants.join(met.hint("merge"), key).select("fp", *key, "n"), "shared")
+    paired = shared if max_bits != 2 else shared.where(F.col("n") <= bucket)
+    near = (paired.select(*key, F.col("fp").alias("a")).join(paired.select(*key, F.col("fp").alias("b")), key)
+            .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+            .select("a", "b").distinct())
     if max_bits != 2:
         return near
-    hot = (variants.join(met.where(f"n > {int(bucket)}").select("bit", "value"), ["bit", "value"])
-           .select("fp").distinct())
+    hot = shared.where(F.col("n") > bucket).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")
                                              for b in range(64)])
     balls = (hot.select("fp", F.explode(flips).alias("flip"))
