@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality, simhash, urls
+from tidemark.llm import lines, packing, quality, simhash, urls
 from tidemark.llm.tables import table
 
 
@@ -28,10 +28,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=lines.MIN_BYTES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
+    "op9_lines": op9_lines,
 }
 ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE}

@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state[0] == 0 or state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
         seen = state
         following = write(_small_star(_large_star(edges)), "links")
         drop(edges)
