@@ -51,9 +51,11 @@ def test_remembered_pieces_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBER", 3)
     enc, tok = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), tokenizer()
     assert enc.by_space
-    for t in TEXTS * 2:
-        assert np.frombuffer(enc.encode(t or ""), enc.kind).tolist() == ids(t, tok)[:-1]
-        assert len(enc.known) <= 7
+    more = [*TEXTS, "one, two; three: four. five!! six??? été,été... x’s. a#b #### a1.2 don't. \"q\" (r) s", "…. x…. «a», 5% €5. α. β,"]
+    for _ in range(3):
+        for t in more:
+            assert np.frombuffer(enc.encode([t or ""])[0], enc.kind).tolist() == ids(t, tok)[:-1]
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode([t or "" for t in more])] == [ids(t, tok)[:-1] for t in more]
 
 
 def test_real_documents_and_empty(spark):

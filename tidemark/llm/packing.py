@@ -7,9 +7,10 @@ boundary record per piece. Only the last sequence is not full.
 
 Tokenising looks words up: in a byte-level vocabulary, a single space between two other characters
 always begins a new pre-token, so a text without two white-space characters in a row is the
-concatenation of its pieces between spaces, each taken with the space before it. New pieces are
-encoded by the tokenizer and remembered up to ``REMEMBER``; texts with runs of white space are encoded
-whole. Both ways give the tokenizer's ids.
+concatenation of its pieces between spaces, each taken with the space before it. Likewise ASCII
+punctuation (but for the apostrophe) begins one after a Latin letter or digit. New pieces are encoded by the tokenizer
+and remembered in two generations of at most ``REMEMBER`` each; texts with runs of white space are encoded whole. Both
+ways give the tokenizer's ids.
 
 Defined cases: a null or empty text has only the closing id; rows with a null or repeated id are
 packed like any other; the row order is that of the written partitions; an empty table gives an
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +33,13 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.tables import two, write
 
-REMEMBER = 400_000
+REMEMBER = 300_000
+GROUP_BYTES = 1 << 20
 #: Partition totals are sent to the tasks up to this many (16 bytes each); more are joined.
 SENT_TOTALS = 2_000_000
 _GROUP = 1024
 _RUN = re.compile(r"\s\s")
+_ENDED = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -51,27 +55,62 @@ class Encoder:
         shape = re.sub(r"\s", "", str(self.tokenizer.pre_tokenizer))
         self.by_space = self.tokenizer.normalizer is None and shape.startswith(
             "ByteLevel(add_prefix_space=False") and "use_regex=False" not in shape
-        self.known: dict[str, bytes] = {}
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_space or _RUN.search(text):
-            return self._many([text])[0]
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > REMEMBER:
-                self.known = {}
-            new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-            if len(new) > REMEMBER:
-                return self._many([text])[0]
-            self.known.update(zip(new, self._many(new), strict=True))
-            return b"".join(map(self.known.__getitem__, pieces))
+        self.known: dict[str, bytes] = {}  # a piece, without its space, to the ids of " piece"
+        self.before: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; the pieces are handed over as one sequence of ready words."""
+        out: list[bytes] = []
+        for lo in range(0, len(pieces), 20_000):
+            some = pieces[lo:lo + 20_000]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, word = np.array(found.ids, self.kind).tobytes(), np.array(found.word_ids, np.int64)
+            cut = (np.searchsorted(word, np.arange(len(some) + 1)) * self.kind().itemsize).tolist()
+            out += [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        heads: set[str] = set()
+        tails: set[str] = set()
+        split: dict[str, tuple[str, str]] = {}
+        whole: list[str] = []
+        for p in missing:
+            if p in self.before:
+                self.known[p] = self.before[p]
+            elif ended := _ENDED.fullmatch(p):
+                split[p] = ended.groups()
+                heads.add(ended[1])
+                tails.add(ended[2])
+            else:
+                whole.append(p)
+        both = {**{h: self.known.get(h) or self.before.get(h) for h in heads}}
+        new = [h for h, ids in both.items() if ids is None] + whole
+        ended_by = list(tails)
+        ids = self._each([" " + p for p in new] + ended_by)
+        fresh = dict(zip(new, ids, strict=False))
+        tail = dict(zip(ended_by, ids[len(new):], strict=True))
+        self.known.update(fresh)
+        for p, (h, t) in split.items():
+            self.known[p] = (both[h] or fresh[h]) + tail[t]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, without a closing id."""
+        out, pieces = [], []
+        for t in texts:
+            if self.by_space and not _RUN.search(t):
+                first, *rest = t.split(" ")
+                pieces.append(rest)
+                out.append(self._whole(first))
+            else:
+                pieces.append([])
+                out.append(self._whole(t))
+        if len(self.known) > REMEMBER:
+            self.before, self.known = self.known, {}
+        self._learn(set().union(*pieces).difference(self.known))
+        return [a + b"".join(map(self.known.__getitem__, p)) for a, p in zip(out, pieces, strict=True)]
 
 
 def encoder(path: str | None) -> Encoder:
@@ -95,9 +134,11 @@ def tokens(docs: DataFrame, path: str | None = None, end: int = 0) -> DataFrame:
         part, before = TaskContext.get().partitionId(), 0
         close = np.array([end], enc.kind).tobytes()
         for rows in batches:
-            for lo in range(0, rows.num_rows, 500):
-                some = rows.slice(lo, 500)
-                ids = [enc.encode(t or "") + close for t in some.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy()
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // GROUP_BYTES)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+                some = rows.slice(lo, hi - lo)
+                ids = [x + close for x in enc.encode([t or "" for t in some.column(1).to_pylist()])]
                 n = np.array([len(x) // len(close) for x in ids], np.int64)
                 begin = before + np.cumsum(n) - n
                 before += int(n.sum())
