@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
+LONG_SPAN = 64
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,16 +86,18 @@ def _round(acc, lane):
 
 
 def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of many byte spans at once. ``data`` needs 8 bytes of padding at its end."""
+    """XXH64 of many byte spans at once, long ones by the library. ``data`` needs 8 bytes of padding at its end."""
     data = np.ascontiguousarray(data)
     u64 = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     u32 = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
-    start, length = start.astype(np.int64), length.astype(np.int64)
+    begin, size = start.astype(np.int64), length.astype(np.int64)
+    far = size >= LONG_SPAN
+    start, length = np.where(far, 0, begin), np.where(far, 0, size)
     s = np.uint64(seed)
     h = np.full(len(start), s + _P5, dtype=np.uint64)
     at = start.copy()
     with np.errstate(over="ignore"):
-        long = np.flatnonzero(length >= 32)
+        long = np.flatnonzero((length >= 32) & (length < LONG_SPAN))
         if len(long):
             acc = [np.full(len(long), x, np.uint64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
             stripes, pos, live, turn = length[long] // 32, at[long].copy(), np.arange(len(long)), 0
@@ -132,6 +136,9 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 4
         h ^= h >> np.uint64(29)
         h *= _P3
         h ^= h >> np.uint64(32)
+    view = memoryview(data)
+    for i in np.flatnonzero(far).tolist():
+        h[i] = xxhash.xxh64_intdigest(view[begin[i]:begin[i] + size[i]], seed)
     return h
 
 
