@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, packing, quality, simhash, urls
+from tidemark.llm import decontam, lines, packing, quality, simhash, urls
 from tidemark.llm.tables import table
 
 
@@ -28,6 +28,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=13, share=20)
+    return found.drop("text_key")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=lines.MIN_BYTES)
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_lines": op9_lines,
 }
-ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE}
+ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE}
