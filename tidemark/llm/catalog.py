@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, packing, quality, simhash, urls
+from tidemark.llm import decontam, lines, packing, quality, simhash, suffixes, urls
 from tidemark.llm.tables import table
 
 
@@ -33,6 +33,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents"), span=suffixes.SPAN)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=lines.MIN_BYTES)
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_suffixes": op8_suffixes,
     "op9_lines": op9_lines,
 }
 ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE}
