@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, packing, quality, simhash, suffixes, urls
+from tidemark.llm import decontam, licenses, lines, packing, quality, simhash, suffixes, urls
 from tidemark.llm.tables import table
 
 
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=13, share=20)
     return found.drop("text_key")
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_suffixes": op8_suffixes,
     "op9_lines": op9_lines,
