@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, licenses, lines, packing, quality, simhash, suffixes, urls
+from tidemark.llm import decontam, hnsw, licenses, lines, packing, quality, simhash, suffixes, urls
 from tidemark.llm.tables import table
 
 
@@ -45,6 +45,11 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=lines.MIN_BYTES)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.neighbours(vectors, hnsw.hundredth(vectors), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_suffixes": op8_suffixes,
     "op9_lines": op9_lines,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE}
