@@ -33,13 +33,14 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.tables import two, write
 
-REMEMBER = 300_000
+REMEMBER = 500_000
 GROUP_BYTES = 1 << 20
 #: Partition totals are sent to the tasks up to this many (16 bytes each); more are joined.
 SENT_TOTALS = 2_000_000
 _GROUP = 1024
 _RUN = re.compile(r"\s\s")
 _ENDED = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -61,40 +62,46 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; the pieces are handed over as one sequence of ready words."""
+    def _each(self, pieces: list[str], joined: bool = False) -> list[bytes]:
+        """Ids of each piece; the pieces are handed over as one sequence of ready words, or as one text.
+
+        In one text each piece must be one pre-token, as a space and Latin letters are.
+        """
         out: list[bytes] = []
-        for lo in range(0, len(pieces), 20_000):
-            some = pieces[lo:lo + 20_000]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+        for lo in range(0, len(pieces), 5_000):
+            some = pieces[lo:lo + 5_000]
+            found = self.tokenizer.encode("".join(some) if joined else some, is_pretokenized=not joined, add_special_tokens=False)
             ids, word = np.array(found.ids, self.kind).tobytes(), np.array(found.word_ids, np.int64)
             cut = (np.searchsorted(word, np.arange(len(some) + 1)) * self.kind().itemsize).tolist()
             out += [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        heads: set[str] = set()
-        tails: set[str] = set()
+        new: list[str] = []
+        other: list[str] = []
         split: dict[str, tuple[str, str]] = {}
-        whole: list[str] = []
         for p in missing:
             if p in self.before:
                 self.known[p] = self.before[p]
             elif ended := _ENDED.fullmatch(p):
                 split[p] = ended.groups()
-                heads.add(ended[1])
-                tails.add(ended[2])
             else:
-                whole.append(p)
-        both = {**{h: self.known.get(h) or self.before.get(h) for h in heads}}
-        new = [h for h, ids in both.items() if ids is None] + whole
-        ended_by = list(tails)
-        ids = self._each([" " + p for p in new] + ended_by)
-        fresh = dict(zip(new, ids, strict=False))
-        tail = dict(zip(ended_by, ids[len(new):], strict=True))
-        self.known.update(fresh)
+                other.append(p)
+        for h in {h for h, _ in split.values()}.union(other):
+            if h not in self.known:
+                ids = self.before.get(h)
+                if ids is None:
+                    new.append(h)
+                else:
+                    self.known[h] = ids
+        words = [h for h in new if _LETTERS.fullmatch(h)]
+        mixed = [h for h in new if not _LETTERS.fullmatch(h)]
+        self.known.update(zip(words, self._each([" " + h for h in words], joined=True), strict=True))
+        self.known.update(zip(mixed, self._each([" " + h for h in mixed]), strict=True))
+        tails = list({t for _, t in split.values()})
+        tail = dict(zip(tails, self._each(tails), strict=True))
         for p, (h, t) in split.items():
-            self.known[p] = (both[h] or fresh[h]) + tail[t]
+            self.known[p] = self.known[h] + tail[t]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, without a closing id."""
