@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hnsw, licenses, lines, packing, quality, simhash, suffixes, urls
+from tidemark.llm import decontam, hnsw, licenses, lines, packing, quality, simhash, suffixes, toxicity, urls
 from tidemark.llm.tables import table
 
 
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), toxicity.grades(table(spark, sf_dir, "labels")))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_suffixes": op8_suffixes,
