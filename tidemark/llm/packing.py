@@ -5,12 +5,9 @@ ids before it there. Pass 2 turns the partition totals into global offsets by pr
 levels so that no window holds them all, and cuts each document at the multiples of ``length``: one
 boundary record per piece. Only the last sequence is not full.
 
-Tokenising looks words up: in a byte-level vocabulary, a single space between two other characters
-always begins a new pre-token, so a text without two white-space characters in a row is the
-concatenation of its pieces between spaces, each taken with the space before it. Likewise ASCII
-punctuation (but for the apostrophe) begins one after a Latin letter or digit. New pieces are encoded by the tokenizer
-and remembered in two generations of at most ``REMEMBER`` each; texts with runs of white space are encoded whole. Both
-ways give the tokenizer's ids.
+Ids are those of a tokenizer file. For a byte-level BPE whose merges make the ids in their order, merging by the
+smallest id gives the same as merging by rank, so its vocabulary is handed to the quicker rank encoder; any other
+file is encoded by the tokenizers library itself. Tests hold both against each other.
 
 Defined cases: a null or empty text has only the closing id; rows with a null or repeated id are
 packed like any other; the row order is that of the written partitions; an empty table gives an
@@ -19,13 +16,13 @@ empty table.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,91 +30,61 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.tables import two, write
 
-REMEMBER = 500_000
-GROUP_BYTES = 1 << 20
+ROWS = 500
+#: Fixed value: the pattern by which byte-level BPE splits a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Partition totals are sent to the tasks up to this many (16 bytes each); more are joined.
 SENT_TOTALS = 2_000_000
 _GROUP = 1024
-_RUN = re.compile(r"\s\s")
-_ENDED = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+def ranks(file: dict) -> dict[bytes, int] | None:
+    """Token bytes to ids of a byte-level BPE file whose ids follow its merges; None for any other."""
+    model, split = file.get("model", {}), file.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and not file.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+             and split.get("use_regex", True) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix",
+                                                                                 "ignore_merges", "byte_fallback")))
+    if not plain:
+        return None
+    byte, vocab = _byte_of(), model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    first = sorted(vocab[c] for c in byte if c in vocab)
+    if first != list(range(256)) or [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return {bytes(byte[c] for c in t): vocab[t] for t in [*byte, *merged]}
+
+
 class Encoder:
     """Token ids as bytes, by a tokenizer file; kept in the worker between tasks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        shape = re.sub(r"\s", "", str(self.tokenizer.pre_tokenizer))
-        self.by_space = self.tokenizer.normalizer is None and shape.startswith(
-            "ByteLevel(add_prefix_space=False") and "use_regex=False" not in shape
-        self.known: dict[str, bytes] = {}  # a piece, without its space, to the ids of " piece"
-        self.before: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _each(self, pieces: list[str], joined: bool = False) -> list[bytes]:
-        """Ids of each piece; the pieces are handed over as one sequence of ready words, or as one text.
-
-        In one text each piece must be one pre-token, as a space and Latin letters are.
-        """
-        out: list[bytes] = []
-        for lo in range(0, len(pieces), 5_000):
-            some = pieces[lo:lo + 5_000]
-            found = self.tokenizer.encode("".join(some) if joined else some, is_pretokenized=not joined, add_special_tokens=False)
-            ids, word = np.array(found.ids, self.kind).tobytes(), np.array(found.word_ids, np.int64)
-            cut = (np.searchsorted(word, np.arange(len(some) + 1)) * self.kind().itemsize).tolist()
-            out += [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        new: list[str] = []
-        other: list[str] = []
-        split: dict[str, tuple[str, str]] = {}
-        for p in missing:
-            if p in self.before:
-                self.known[p] = self.before[p]
-            elif ended := _ENDED.fullmatch(p):
-                split[p] = ended.groups()
-            else:
-                other.append(p)
-        for h in {h for h, _ in split.values()}.union(other):
-            if h not in self.known:
-                ids = self.before.get(h)
-                if ids is None:
-                    new.append(h)
-                else:
-                    self.known[h] = ids
-        words = [h for h in new if _LETTERS.fullmatch(h)]
-        mixed = [h for h in new if not _LETTERS.fullmatch(h)]
-        self.known.update(zip(words, self._each([" " + h for h in words], joined=True), strict=True))
-        self.known.update(zip(mixed, self._each([" " + h for h in mixed]), strict=True))
-        tails = list({t for _, t in split.values()})
-        tail = dict(zip(tails, self._each(tails), strict=True))
-        for p, (h, t) in split.items():
-            self.known[p] = self.known[h] + tail[t]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, without a closing id."""
-        out, pieces = [], []
-        for t in texts:
-            if self.by_space and not _RUN.search(t):
-                first, *rest = t.split(" ")
-                pieces.append(rest)
-                out.append(self._whole(first))
-            else:
-                pieces.append([])
-                out.append(self._whole(t))
-        if len(self.known) > REMEMBER:
-            self.before, self.known = self.known, {}
-        self._learn(set().union(*pieces).difference(self.known))
-        return [a + b"".join(map(self.known.__getitem__, p)) for a, p in zip(out, pieces, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            found = ranks(json.load(f))
+        if found:
+            import tiktoken
+
+            self.size = len(found)
+            self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True
+            self.size = own.get_vocab_size()
+            self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.code = "H" if self.size <= 1 << 16 else "I"
+
+    def encode(self, text: str) -> bytes:
+        return array(self.code, self.ids(text)).tobytes()
 
 
 def encoder(path: str | None) -> Encoder:
@@ -141,11 +108,9 @@ def tokens(docs: DataFrame, path: str | None = None, end: int = 0) -> DataFrame:
         part, before = TaskContext.get().partitionId(), 0
         close = np.array([end], enc.kind).tobytes()
         for rows in batches:
-            sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy()
-            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // GROUP_BYTES)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
-                some = rows.slice(lo, hi - lo)
-                ids = [x + close for x in enc.encode([t or "" for t in some.column(1).to_pylist()])]
+            for lo in range(0, rows.num_rows, ROWS):
+                some = rows.slice(lo, ROWS)
+                ids = [enc.encode(t or "") + close for t in some.column(1).to_pylist()]
                 n = np.array([len(x) // len(close) for x in ids], np.int64)
                 begin = before + np.cumsum(n) - n
                 before += int(n.sum())
