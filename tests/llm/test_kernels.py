@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tidemark.llm import kernels as K
@@ -23,4 +24,4 @@ def test_words_do_not_cross_texts():
     w = K.Words(texts, K.SPACES)
     assert [bytes(w.data[s:e]) for s, e in zip(w.start, w.end)] == [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert w.count.tolist() == [0, 2, 1, 0, 3] and w.doc.tolist() == [1, 1, 2, 4, 4, 4]
-    assert list(K.blocks([b"x" * 5, b"y", b"z" * 9, b""], 6)) == [(0, 2), (2, 3), (3, 4)]
+    assert list(K.blocks(pa.array(["x" * 5, "y", "z" * 9, None, ""]), 6)) == [(0, 2, [b"xxxxx", b"y"]), (2, 3, [b"z" * 9]), (3, 5, [b"", b""])]

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 LONG_SPAN = 64
 
 #: A-Z to a-z, every other byte as it is.
@@ -32,21 +33,22 @@ _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
 
 def raw(texts) -> list[bytes]:
     """The UTF-8 bytes of a text column; null becomes empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
     return [b"" if x is None else x for x in texts.cast(pa.large_binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes; a longer text is a range of its own."""
+def blocks(texts, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of at most ``limit`` bytes and their texts; a longer text is a range of its own."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > limit:
-            yield lo, i
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > lo and size + n > limit:
+            yield lo, i, raw(texts.slice(lo, i - lo))
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
+    if lo < len(lengths):
+        yield lo, len(lengths), raw(texts.slice(lo))
 
 
 class Words:

@@ -113,9 +113,8 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] | None = None, notices: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(1))
-            for a, b in K.blocks(texts):
-                w = K.Words(texts[a:b], K.NON_ALNUM)
+            for a, b, texts in K.blocks(rows.column(1)):
+                w = K.Words(texts, K.NON_ALNUM)
                 out: list[list] = [[], [], []]
                 for first, count in zip(w.first.tolist(), w.count.tolist(), strict=True):
                     text = w.data[w.start[first]:w.end[first + count - 1]].tobytes().decode() if count else ""

@@ -89,9 +89,8 @@ def _name(lines: Lines, max_edits: int, diff: int, segment: int, shift: int) ->
 def _scan(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(1))
-            for a, b in K.blocks(texts):
-                yield make(texts[a:b], rows.column(0).slice(a, b - a))
+            for a, b, texts in K.blocks(rows.column(1)):
+                yield make(texts, rows.column(0).slice(a, b - a))
     return two(docs).where("text is not null").mapInArrow(run, schema)
 
 

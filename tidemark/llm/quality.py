@@ -91,9 +91,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(1))
-            for a, b in K.blocks(texts):
-                yield K.batch(schema, rows.column(0).slice(a, b - a), *statistics_block(texts[a:b]).T)
+            for a, b, texts in K.blocks(rows.column(1)):
+                yield K.batch(schema, rows.column(0).slice(a, b - a), *statistics_block(texts).T)
     return two(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
@@ -230,7 +229,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sett
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(at))
-            keep = [model.score(statistics_block(texts[a:b])) >= threshold for a, b in K.blocks(texts)]
+            keep = [model.score(statistics_block(texts)) >= threshold for _, _, texts in K.blocks(rows.column(at))]
             yield rows.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
     return docs.mapInArrow(run, docs.schema)

@@ -62,8 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(1))
-            parts = [fingerprint_block(texts[a:b], shingle) for a, b in K.blocks(texts)]
+            parts = [fingerprint_block(texts, shingle) for _, _, texts in K.blocks(rows.column(1))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield K.batch(_OUT, rows.column(0), fp.view(np.int64))
     return two(docs).mapInArrow(run, "doc_id long, fp long")

@@ -108,9 +108,8 @@ def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(2))
-            for a, b in K.blocks(texts):
-                some = [i for i in range(a, b) if len(texts[i]) >= span]
+            for a, _, texts in K.blocks(rows.column(2)):
+                some = [i for i, t in enumerate(texts) if len(t) >= span]
                 if not some:
                     continue
                 size = np.array([len(texts[i]) for i in some])
@@ -125,7 +124,7 @@ def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 begin = np.flatnonzero(new & valid)
                 stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
                 body = K.xxh64(data, begin, stop - begin + span - 1)
-                at = pa.array(np.array(some)[doc[begin]])
+                at = pa.array(np.array(some)[doc[begin]] + a)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name[begin].view(np.int64)), pa.array(body.view(np.int64)),
                      pa.array(occurrences(g, name, begin, stop, width)), rows.column(0).take(at), rows.column(1).take(at),
@@ -341,10 +340,11 @@ def remove(docs: DataFrame, span: int = SPAN, with_bytes: bool = False, **settin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = K.raw(batch.column(1))
-            out = [cut(t, r or [], span) for t, r in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            parts = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                     pa.array([o[2] for o in out], pa.int64()), pa.array([hashlib.sha256(o[0]).hexdigest() for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([*parts, *([pa.array([o[0] for o in out], pa.binary())] if with_bytes else [])], names=columns)
+            for a, b, texts in K.blocks(batch.column(1)):
+                some = batch.slice(a, b - a)
+                out = [cut(t, r or [], span) for t, r in zip(texts, some.column(2).to_pylist(), strict=True)]
+                parts = [some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                         pa.array([o[2] for o in out], pa.int64()), pa.array([hashlib.sha256(o[0]).hexdigest() for o in out], pa.string())]
+                yield pa.RecordBatch.from_arrays([*parts, *([pa.array([o[0] for o in out], pa.binary())] if with_bytes else [])], names=columns)
     kinds = {"kept_sha256": "string", "kept": "binary"}
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in columns))

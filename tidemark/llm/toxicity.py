@@ -145,10 +145,10 @@ def _choose(sample: DataFrame, width: int, least: int) -> tuple[np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(64, np.int64)
         for rows in batches:
-            texts, grade = K.raw(rows.column(1)), rows.column(2).to_numpy(zero_copy_only=False)
+            grade = rows.column(2).to_numpy(zero_copy_only=False)
             seen += np.bincount(np.minimum(grade, 63), minlength=64)
-            for a, b in K.blocks(texts):
-                at, ids = _present(*features_block(texts[a:b]))
+            for a, b, texts in K.blocks(rows.column(1)):
+                at, ids = _present(*features_block(texts))
                 for k in (0, 1):
                     counts[k] += np.bincount(ids[(grade[a:b] > 0)[at] == bool(k)], minlength=1 << BITS)
         ids = np.flatnonzero(counts.sum(0))
@@ -183,9 +183,8 @@ def fit(docs: DataFrame, graded: DataFrame, width: int = 2048, least: int = 3, r
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = K.raw(batch.column(1))
-            for a, b in K.blocks(texts):
-                row, ids = features_block(texts[a:b])
+            for a, b, texts in K.blocks(batch.column(1)):
+                row, ids = features_block(texts)
                 row, at = _present(row[place[ids] >= 0], place[ids][place[ids] >= 0])
                 cuts = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_pydict({"grade": batch.column(2).slice(a, b - a), "at": [at[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]})
@@ -217,9 +216,8 @@ def grade(docs: DataFrame, graded: DataFrame, **settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = K.raw(rows.column(1))
-            for a, b in K.blocks(texts):
-                above = model.value.above(texts[a:b]) if len(model.value.thresholds) else np.zeros((b - a, 1))
+            for a, b, texts in K.blocks(rows.column(1)):
+                above = model.value.above(texts) if len(model.value.thresholds) else np.zeros((b - a, 1))
                 yield K.batch(schema, rows.column(0).slice(a, b - a), above.sum(1), above[:, 0])
     scored = two(docs).mapInArrow(run, "doc_id long, severity double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "severity", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
