@@ -71,7 +71,7 @@ def test_wide_matrix_subset_equals_direct_build(spark, sf_dir):
     for groups in (MINIMAL, VETTED, oof.GROUP_SETS["warm"], oof.GROUP_SETS["cold"],
                    MINIMAL.but(confidence=True), MINIMAL.but(quality=True)):
         own = matrix.transform(log.train.limit(1), matrix.fit(log.prior, log.train, groups), groups)
-        assert set(matrix.block_columns(matrix.feature_names(wide), groups)) == set(
+        assert set(matrix.block_columns(wide, groups)) == set(
             matrix.feature_names(own))
 
 

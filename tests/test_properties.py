@@ -171,7 +171,7 @@ def test_svd_equals_numpy(spark):
     a = u @ np.diag([40, 20, 10, 5, 2, 1]) @ v.T
     cells = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i in range(60) for j in range(25)],
                                   "row long, col long, value double")
-    right, values = factor.truncated_svd(cells, 4, iterations=8)
+    right, values = factor.truncated_svd(cells, 4, oversample=2, tolerance=1e-6)
     assert values[:4] == pytest.approx([40, 20, 10, 5], rel=1e-3)
     rows = factor.project(cells, right, 4).toPandas().sort_values("row")
     norms = np.sqrt((rows[[f"f{i}" for i in range(4)]] ** 2).sum())

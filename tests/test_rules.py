@@ -40,9 +40,9 @@ def test_keyword_flags_ignore_case_and_null(spark):
     assert one(df.select(flag)) == [(1,), (0,), (0,)]
 
 
-def test_topic_tokens_cut_and_drop_blanks(spark):
+def test_topic_tokens_are_whole_and_drop_blanks(spark):
     df = spark.createDataFrame([(["a b", " ", "x" * 60],)], "t array<string>")
-    assert one(df.select(fields.topic_tokens(F.col("t")))) == [(["topic_a_b", "topic_" + "x" * 50],)]
+    assert one(df.select(fields.topic_tokens(F.col("t")))) == [(["topic_a_b", "topic_" + "x" * 60],)]
 
 
 def test_bad_date_is_null(spark):

@@ -82,10 +82,10 @@ def entity(prefix: str, value: Column) -> Column:
 
 
 def topic_tokens(topics: Column) -> Column:
-    """Topic tokens: spaces become underscores, 50 characters are kept, blanks are dropped."""
+    """Topic tokens: spaces become underscores, the whole topic is kept, blanks are dropped."""
     named = F.filter(F.transform(topics, safe_text), lambda t: t != MISSING)
     cut = F.transform(named, lambda t: F.concat(
-        F.lit("topic_"), F.substring(F.replace(t, F.lit(" "), F.lit("_")), 1, 50)))
+        F.lit("topic_"), F.replace(t, F.lit(" "), F.lit("_"))))
     return F.coalesce(cut, F.array().cast(STRINGS))
 
 
@@ -99,10 +99,3 @@ def entity_tokens() -> dict[str, Column]:
 def person_token() -> Column:
     return safe_text(F.col(PERSON))
 
-
-def coded_columns() -> list[str]:
-    return CATEGORICAL + [TRAINER]
-
-
-def topics_or_empty() -> Column:
-    return F.coalesce(F.col(TOPICS), F.array().cast(STRINGS))

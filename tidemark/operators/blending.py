@@ -11,10 +11,6 @@ from tidemark.config import ID, LABELS, SCORES
 from tidemark.functions.probability import clip, log_loss_term, ordered
 from tidemark.operators.metrics import fold_stats, metrics, regroup, weighted_score
 
-# Scores of a grid search are compared at this precision: it bounds the distinct scores per
-# candidate, so the histograms stay small however many rows are scored.
-GRID_DIGITS = 6
-
 
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
     kept = {m: min(max(w, 0.0), 1.0) for m, w in weights.items()}
@@ -79,8 +75,7 @@ def side_by_side(oof: DataFrame, models: list[str], model: str = "model",
 
 
 def _mixes(models: list[str], weight: Column) -> list[Column]:
-    return [F.round(sum((weight[i] * F.col(f"{p}_{i}") for i in range(len(models))), F.lit(0.0)),
-                    GRID_DIGITS) for p in SCORES.values()]
+    return [sum((weight[i] * F.col(f"{p}_{i}") for i in range(len(models))), F.lit(0.0)) for p in SCORES.values()]
 
 
 def blend_scores(oof: DataFrame, models: list[str], grid: list[dict[str, float]]) -> DataFrame:

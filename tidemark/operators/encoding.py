@@ -45,10 +45,6 @@ def attach_codes(rows: DataFrame, codes: DataFrame, columns: list[str],
     return rows
 
 
-def coded_log(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    return attach_codes(rows, codes, CATEGORICAL + [TRAINER], {TRAINER: "trainer_encoded"})
-
-
 def _pairs(rows: DataFrame, *extra) -> DataFrame:
     kinds = [F.struct(F.lit(kind).alias("kind"), entity(kind, F.col(col)).alias("key"))
              for kind, col in PAIR_KINDS.items()]

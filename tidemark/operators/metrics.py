@@ -197,8 +197,11 @@ def monotone(oof: DataFrame, keys: list[str]) -> DataFrame:
     return oof.groupBy(*keys).agg(F.bool_and(ok).cast("int").alias("monotone"))
 
 
-def feature_correlation(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Pearson correlation of every feature with the label, from one aggregate row."""
-    wide = rows.agg(*[F.corr(f, label).alias(f) for f in features])
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("correlation")) for f in features]
-    return wide.select(F.inline(F.array(*pairs)))
+def feature_correlations(rows: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
+    """Pearson correlation of every feature with every label, from one aggregate row; NULL without spread."""
+    pairs = [(f, y) for f in features for y in labels]
+    wide = rows.agg(*[F.covar_pop(F.col(f).cast("double"), F.col(y).cast("double")).alias(f"c{i}") for i, (f, y) in enumerate(pairs)],
+                    *[F.stddev_pop(c).alias(f"spread_{c}") for c in [*features, *labels]])
+    rows_out = [F.struct(F.lit(f).alias("feature"), F.lit(y).alias("label"), F.try_divide(
+        f"c{i}", F.col(f"spread_{f}") * F.col(f"spread_{y}")).alias("correlation")) for i, (f, y) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*rows_out)))

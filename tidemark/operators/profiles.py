@@ -100,6 +100,11 @@ def full_profile(counts: DataFrame) -> DataFrame:
                                        *_plain(), *_confident(0))
 
 
+def blocks_of(column: str) -> tuple[str, ...]:
+    """Feature blocks of a profile column: counts serve both the plain and the confidence block."""
+    return {"rate": ("aggregates",), "count": ("aggregates", "confidence")}.get(column.rsplit("_", 1)[-1], ("confidence",))
+
+
 def target_encoding(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """As-of encodings: confidence profile with a support floor."""
     return confidence_profile(counts, min_support)

@@ -209,7 +209,7 @@ def entity_tokens(spark, sf_dir):
 ORACLES["entity_tokens"] = sql("""SELECT row_id, farmer_name AS person,
   'trainer_' || trainer AS trainer, 'group_' || group_name AS "group",
   'county_' || county AS county, 'subcounty_' || subcounty AS subcounty, 'ward_' || ward AS ward,
-  array_to_string(list_transform(topics, lambda x: 'topic_' || left(replace(x, ' ', '_'), 50)), '|')
+  array_to_string(list_transform(topics, lambda x: 'topic_' || replace(x, ' ', '_')), '|')
     AS topics FROM log""")
 
 
@@ -440,7 +440,7 @@ def interaction_target_encoding(spark, sf_dir):
 def _pair_rows(source: str) -> str:
     """(kind, key, topic) rows of a log CTE."""
     kinds = (("trainer", "trainer"), ("group", "group_name"), ("ward", "ward"))
-    topic = "'topic_' || left(replace(t.x, ' ', '_'), 50)"
+    topic = "'topic_' || replace(t.x, ' ', '_')"
     return " UNION ALL ".join(
         f"SELECT s.*, '{kind}' AS kind, '{kind}_' || s.{col} AS key, {topic} AS topic "
         f"FROM {source} s CROSS JOIN unnest(s.topics) t(x)" for kind, col in kinds)

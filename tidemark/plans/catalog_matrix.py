@@ -8,7 +8,7 @@ from tidemark.config import (BINARY, CATEGORICAL, DATE, DAY, ID, LABELS, MINIMAL
                              TOPICS, VETTED)
 from tidemark.functions import fields
 from tidemark.functions.calendar import date_parts
-from tidemark.operators import weights
+from tidemark.operators import metrics, weights
 from tidemark.operators.interactions import linear_interactions
 from tidemark.plans import matrix
 from tidemark.plans.catalog_log import (_CODE_CTE, COUNT_COLUMNS, CONFIDENCE_COLUMNS,
@@ -92,6 +92,21 @@ ORACLES["feature_matrix_vetted"] = sql(
     f"SELECT row_id, {_filled(VETTED_COLUMNS)} FROM wide", MATRIX_CTE)
 
 
+@query
+def feature_correlation(spark, sf_dir):
+    """Every feature of the matrix against each of the three labels; NULL for a constant feature."""
+    x = train_matrix(spark, sf_dir, VETTED, "vetted")
+    out = metrics.feature_correlations(x, matrix.feature_names(x), list(LABELS.values()))
+    return out.withColumn("correlation", r6("correlation"))
+
+
+ORACLES["feature_correlation"] = sql(" UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, '{y}' AS label, CASE WHEN stddev_pop({c}) > 0 AND stddev_pop({y}) > 0
+    THEN round(corr({c}, {y}), 6) END AS correlation FROM filled""" for c in VETTED_COLUMNS for y in LABELS.values()), {
+        **MATRIX_CTE, "filled": f"""SELECT {labels('{y}')}, {', '.join(
+            f'CAST(coalesce({c}, 0) AS DOUBLE) AS {c}' for c in VETTED_COLUMNS)} FROM wide"""})
+
+
 @query
 def feature_subset(spark, sf_dir):
     """The matrix without its topic and place columns (one ablation step)."""

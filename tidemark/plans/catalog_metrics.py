@@ -230,32 +230,38 @@ FROM (SELECT model, horizon, max(k) AS k, avg(p) FILTER (WHERE up <= k) AS lo,
 
 @query
 def table_profile(spark, sf_dir):
-    out = reports.column_profile(TrainingLog(spark, sf_dir).rows().drop(TOPICS, DATE))
-    return out.select("column_name", "missing", r6("missing_pct").alias("missing_pct"), "n_unique")
+    out = reports.column_profile(TrainingLog(spark, sf_dir).rows())
+    return out.select("column_name", "column_type", "missing", r6("missing_pct").alias("missing_pct"), "n_unique")
 
 
-_PROFILED = [ID, PERSON, DAY, TRAINER, *CATEGORICAL, "group_name", "belong_to_cooperative",
-             "has_topic_trained_on", *LABELS.values(), "period"]
+_PROFILED = {**dict.fromkeys([PERSON, TRAINER, *CATEGORICAL, "group_name", "period"], "string"), ID: "bigint", DATE: "date",
+             **dict.fromkeys([DAY, "belong_to_cooperative", "has_topic_trained_on", *LABELS.values()], "int"),
+             TOPICS: "array<string>"}
 ORACLES["table_profile"] = sql(" UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS missing,
-    round((count(*) - count({c})) * 100e0 / count(*), 6) AS missing_pct,
-    count(DISTINCT {c}) AS n_unique FROM log""" for c in _PROFILED))
+    f"""SELECT '{c}' AS column_name, '{kind}' AS column_type, count(*) - count({v}) AS missing,
+    round((count(*) - count({v})) * 100e0 / count(*), 6) AS missing_pct,
+    count(DISTINCT {v}) AS n_unique FROM log"""
+    for c, kind in _PROFILED.items() for v in ["topics" if c == TOPICS else c]))
 
 
 @query
 def table_duplicates(spark, sf_dir):
-    return reports.row_count_and_duplicates(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    return reports.row_count_and_duplicates(table(spark, sf_dir, "lineitem"))
 
 
-ORACLES["table_duplicates"] = """SELECT count(*) AS n_rows, count(*) - count(DISTINCT
-  (l_orderkey, l_linenumber)) AS duplicate_rows FROM lineitem"""
+ORACLES["table_duplicates"] = """SELECT CAST(sum(n) AS BIGINT) AS n_rows,
+  CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
+
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query
 def table_describe(spark, sf_dir):
-    out = reports.describe_numeric(table(spark, sf_dir, "lineitem"),
-                                   ["l_quantity", "l_extendedprice", "l_discount"])
+    rows = table(spark, sf_dir, "lineitem")
+    numeric = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)]
+    out = reports.describe_numeric(rows, numeric)
     return out.select("column_name", "n", *[F.round(c, 4).alias(c)
                                             for c in ("mean", "std", "min", "max")])
 
@@ -264,7 +270,7 @@ ORACLES["table_describe"] = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean,
     round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS "min",
     round(CAST(max({c}) AS DOUBLE), 4) AS "max" FROM lineitem"""
-    for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    for c in _NUMERIC)
 
 
 @query
@@ -302,25 +308,6 @@ FROM (""" + " UNION ALL ".join(
     f"SELECT '{y}' AS target, {y} AS value, count(*) AS n FROM train GROUP BY {y}"
     for y in LABELS.values()) + ")")
 
-_CORRELATED = ["topic_count", "has_topic_trained_on", "belong_to_cooperative", "day", "month"]
-
-
-@query
-def feature_correlation(spark, sf_dir):
-    rows = TrainingLog(spark, sf_dir).train.select(
-        LABELS["90"], fields.topic_count(F.col(TOPICS)).alias("topic_count"),
-        "has_topic_trained_on", "belong_to_cooperative", DAY, F.month(DATE).alias("month"))
-    out = metrics.feature_correlation(rows, _CORRELATED, LABELS["90"])
-    return (out.withColumn("correlation", r6("correlation"))
-            .orderBy(F.abs("correlation").desc(), "feature").limit(4))
-
-
-ORACLES["feature_correlation"] = sql("SELECT feature, correlation FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(corr({c}, {LABELS['90']}), 6) AS correlation FROM x"
-    for c in _CORRELATED) + ") ORDER BY abs(correlation) DESC, feature LIMIT 4", {
-        "x": f"""SELECT {LABELS['90']}, len(topics) AS topic_count, has_topic_trained_on,
-            belong_to_cooperative, day, month(training_day) AS month FROM train"""})
-
 
 @query
 def monotone_check(spark, sf_dir):
@@ -509,7 +496,7 @@ def penalised_blend(spark, sf_dir):
 
 
 def _blend_ctes() -> dict[str, str]:
-    mixed = labels("round(0e0 + w0 * p{h}_0 + w1 * p{h}_1 + w2 * p{h}_2, 6) AS p{h}")
+    mixed = labels("0e0 + w0 * p{h}_0 + w1 * p{h}_1 + w2 * p{h}_2 AS p{h}")
     wide = ", ".join(f"{_pick(m, f'p{h}')} AS p{h}_{i}" for i, m in enumerate(MODELS)
                      for h in LABELS)
     return {

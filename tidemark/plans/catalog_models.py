@@ -74,7 +74,7 @@ def warm_cold_oof(spark, sf_dir):
 
 @query
 def cohort_calibration(spark, sf_dir):
-    return oof.cohort_calibrated(_warm_cold(spark, sf_dir))
+    return oof.cohort_calibrated(_warm_cold(spark, sf_dir), min_rows=oof.COHORT_MIN_ROWS)
 
 
 @query
@@ -89,7 +89,7 @@ def graph_view_oof(spark, sf_dir):
 
 @query
 def walk_view_oof(spark, sf_dir):
-    return oof.walk_view(spark, sf_dir, per_node=4, length=10)
+    return oof.walk_view(spark, sf_dir)
 
 
 @query
@@ -162,7 +162,7 @@ def multi_view_blend(spark, sf_dir):
 
 @query
 def importance(spark, sf_dir):
-    return search.importance(spark, sf_dir, LABELS["07"])
+    return search.importance(spark, sf_dir, LABELS["07"], top=20)
 
 
 @query

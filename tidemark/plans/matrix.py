@@ -16,12 +16,14 @@ from tidemark.operators.interactions import interactions
 from tidemark.sources.workspace import materialise
 
 _CARRIED = [ID, DAY, *LABELS.values()]
+# Column metadata that names the blocks a feature belongs to.
+_BLOCKS = "blocks"
 
 
 @dataclass(frozen=True)
 class FittedTables:
-    """Lookup tables of one history and training set. Written tables carry their true size, so
-    Spark broadcasts the small ones and shuffles (with skew splitting) the large ones."""
+    """Lookup tables of one history and training set, stored by column or key. The planner sizes
+    the partition that a join reads, so a small lookup is broadcast however large another one is."""
 
     history: DataFrame
     codes: DataFrame
@@ -30,7 +32,7 @@ class FittedTables:
 
 
 def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) -> FittedTables:
-    codes = materialise(encoding.category_codes([train, history], CATEGORICAL + [TRAINER]), "codes")
+    codes = materialise(encoding.category_codes([train, history], CATEGORICAL + [TRAINER]), "codes", ["col"])
     people = keys = None
     if groups.person_history:
         people = materialise(profiles.person_profile(history), "people")
@@ -38,7 +40,7 @@ def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) ->
         counts = materialise(profiles.key_counts(history, list(PROFILE_KEYS)), "keycounts")
         make = (profiles.full_profile if groups.aggregates and groups.confidence else
                 profiles.key_profile if groups.aggregates else profiles.confidence_profile)
-        keys = materialise(make(counts), "keys")
+        keys = materialise(make(counts), "keys", ["key_name"])
     return FittedTables(history, codes, people, keys)
 
 
@@ -48,79 +50,65 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
     Category columns hold their codes under their own names.
     """
     carried = [c for c in _CARRIED if c in rows.columns]
-    x, names = rows, []
+    x, made = rows, {}
 
-    def add(columns: dict) -> None:
+    def add(columns: dict, block: str) -> None:
         nonlocal x
         x = x.withColumns(columns)
-        names.extend(columns)
+        made.update({c: (block,) for c in columns})
+
+    def extend(wider: DataFrame, block: str) -> None:
+        nonlocal x
+        before = set(x.columns)
+        x = wider
+        made.update({c: (block,) for c in wider.columns if c not in before})
 
     if groups.direct:
-        x = encoding.attach_codes(x, fitted.codes, CATEGORICAL)
-        names += [f"{c}_code" for c in CATEGORICAL]
-        add({c: F.col(c).cast("int") for c in BINARY})
+        extend(encoding.attach_codes(x, fitted.codes, CATEGORICAL), "direct")
+        add({c: F.col(c).cast("int") for c in BINARY}, "direct")
     if groups.dates:
-        add(date_parts(F.col(DATE)))
+        add(date_parts(F.col(DATE)), "dates")
     if groups.topics:
         add({"topic_count": fields.topic_count(F.col(TOPICS)),
-             **fields.keyword_flags(F.col(TOPICS), groups.keywords)})
-        if "has_topic_trained_on" not in names:
-            add({"has_topic_trained_on": fields.has_topic(F.col(TOPICS))})
+             **fields.keyword_flags(F.col(TOPICS), groups.keywords)}, "topics")
+        if "has_topic_trained_on" in made:
+            made["has_topic_trained_on"] += ("topics",)
+        else:
+            add({"has_topic_trained_on": fields.has_topic(F.col(TOPICS))}, "topics")
     if groups.trainer:
-        x = encoding.attach_codes(x, fitted.codes, [TRAINER], {TRAINER: "trainer_encoded"})
-        names.append("trainer_encoded")
+        extend(encoding.attach_codes(x, fitted.codes, [TRAINER], {TRAINER: "trainer_encoded"}), "trainer")
         add({"has_multiple_trainers": F.coalesce(F.col(TRAINER).contains(",").cast("int"),
-                                                 F.lit(0))})
+                                                 F.lit(0))}, "trainer")
     if groups.person_history:
-        flagged = fitted.people.withColumn("has_prior_history", F.lit(1))
-        x = x.join(flagged, PERSON, "left")
-        names += [c for c in flagged.columns if c != PERSON]
+        extend(x.join(fitted.people.withColumn("has_prior_history", F.lit(1)), PERSON, "left"), "person_history")
     if groups.aggregates or groups.confidence:
         before = set(x.columns)
         x = profiles.attach_all(x, fitted.keys)
-        names += [c for c in x.columns if c not in before]
+        made.update({c: profiles.blocks_of(c) for c in x.columns if c not in before})
     if groups.interactions:
-        before = set(x.columns)
-        x = interactions(x)
-        names += [c for c in x.columns if c not in before]
+        extend(interactions(x), "interactions")
     if groups.recency:
-        before = set(x.columns)
-        x = lookback.recency_intensity(x, fitted.history)
-        names += [c for c in x.columns if c not in before]
+        extend(lookback.recency_intensity(x, fitted.history), "recency")
     if groups.quality:
-        before = set(x.columns)
-        x = lookback.topic_novelty(x, fitted.history)
-        names += [c for c in x.columns if c not in before]
-    return x.select(*carried, *[F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_code"))
-                                for c in names])
+        extend(lookback.topic_novelty(x, fitted.history), "quality")
+    return x.select(*carried, *[F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_code"), metadata={_BLOCKS: list(blocks)})
+                                for c, blocks in made.items()])
 
 
 def feature_names(matrix: DataFrame) -> list[str]:
     return [c for c in matrix.columns if c not in _CARRIED and c not in ("fold", "role", "weight")]
 
 
-# Column name patterns of the blocks, to read a smaller set of blocks from a written wide matrix.
-_BLOCKS = {
-    "direct": lambda c: c in CATEGORICAL or c in BINARY,
-    "dates": lambda c: c.startswith(("month", "day_", "quarter", "week_", "is_")),
-    "topics": lambda c: c in ("topic_count", "has_topic_trained_on") or c.startswith("topic_cat_"),
-    "trainer": lambda c: c in ("trainer_encoded", "has_multiple_trainers"),
-    "person_history": lambda c: "_x_" not in c and (c.startswith("prior_")
-                                                    or c == "has_prior_history"),
-    "aggregates": lambda c: _keyed(c) and c.endswith(("_rate", "_count")),
-    "confidence": lambda c: _keyed(c) and c.endswith(("_smoothed", "_se", "_lower95", "_count")),
-    "interactions": lambda c: "_x_" in c,
-    "recency": lambda c: c.startswith(("days_since_", "trainings_last_", "recent_")),
-    "quality": lambda c: c in ("topic_diversity", "topic_novelty", "repeat_topic_ratio"),
-}
-
-
-def _keyed(column: str) -> bool:
-    return "_x_" not in column and column.startswith(
-        tuple(f"{p}_" for p in PROFILE_KEYS.values())) and column != "trainer_encoded"
+def columns_by_block(matrix: DataFrame) -> dict[str, list[str]]:
+    """Feature columns of each block, as ``transform`` recorded them; files keep the record."""
+    out: dict[str, list[str]] = {}
+    for field in matrix.schema.fields:
+        for block in field.metadata.get(_BLOCKS, ()):
+            out.setdefault(block, []).append(field.name)
+    return out
 
 
-def block_columns(columns: list[str], groups: FeatureGroups) -> list[str]:
+def block_columns(matrix: DataFrame, groups: FeatureGroups) -> list[str]:
     """The columns of a wide matrix that the given blocks would have produced."""
-    on = [test for name, test in _BLOCKS.items() if getattr(groups, name)]
-    return [c for c in columns if any(test(c) for test in on)]
+    on = {c for block, columns in columns_by_block(matrix).items() if getattr(groups, block) for c in columns}
+    return [c for c in matrix.columns if c in on]

@@ -29,7 +29,8 @@ from tidemark.sources.training_log import TrainingLog
 EVERYTHING = VETTED.but(interactions=True, quality=True)
 GROUP_SETS: dict[str, FeatureGroups] = {"minimal": MINIMAL, "vetted": VETTED, "warm": WARM,
                                         "cold": COLD}
-TEXT_WIDTH = 16
+# Published embedding width and vocabulary size of the text view.
+TEXT_WIDTH, TEXT_TERMS = 64, 500
 
 
 # ---------------------------------------------------------------- fold matrices
@@ -69,7 +70,7 @@ def fold_frames(spark: SparkSession, sf_dir: str,
     wide = _written(spark, sf_dir, "everything", EVERYTHING)
     return [FoldFrame(f.number, f.rows.select(
         *[c for c in f.rows.columns if c not in f.features],
-        *matrix.block_columns(f.features, groups)), matrix.block_columns(f.features, groups))
+        *matrix.block_columns(f.rows, groups)), matrix.block_columns(f.rows, groups))
         for f in wide]
 
 
@@ -248,7 +249,7 @@ def gate_frames(spark, sf_dir) -> list[FoldFrame]:
         rows = profiles.known_person(_roles(log.train, fold), history)
         codes = workspace.materialise(encoding.category_codes(
             [log.train.where(in_training(fold, F.col(DAY)))], GATING_KEYS,
-            missing=fields.MISSING), "codes")
+            missing=fields.MISSING), "codes", ["col"])
         rows = encoding.attach_codes(rows, codes, GATING_KEYS, missing=fields.MISSING)
         names = ["topic_flag", "topic_count", *[f"{c}_code" for c in GATING_KEYS]]
         rows = rows.select(ID, "role", *LABELS.values(), "has_prior_history",
@@ -278,11 +279,12 @@ def warm_cold(spark, sf_dir, **options) -> DataFrame:
 
 
 COHORT_METHODS = ["none", "platt", "isotonic"]
+# Fixed value: published least rows of a calibrated cohort.
 COHORT_MIN_ROWS = 10
 
 
-def cohort_calibrated(oof: DataFrame, cohorts: int = 4) -> DataFrame:
-    """Per cohort the calibrator with the least summed log-loss; small cohorts stay as they are."""
+def cohort_calibrated(oof: DataFrame, min_rows: int = 0) -> DataFrame:
+    """Per cohort the calibrator with the least summed log-loss; cohorts under ``min_rows`` stay as they are."""
     oof = workspace.materialise(oof, "cohorts")
     keys = ["cohort", "horizon"]
     hist = workspace.materialise(
@@ -293,7 +295,7 @@ def cohort_calibrated(oof: DataFrame, cohorts: int = 4) -> DataFrame:
 
     def calibrate(cohort: int) -> DataFrame:
         rows = oof.where(F.col("cohort") == cohort)
-        methods = COHORT_METHODS if sizes[cohort] >= COHORT_MIN_ROWS else ["none"]
+        methods = COHORT_METHODS if sizes[cohort] >= min_rows else ["none"]
         for m in methods:
             for h in LABELS:
                 own = hist.where((F.col("cohort") == cohort) & (F.col("horizon") == h))
@@ -333,13 +335,13 @@ def text_view(spark, sf_dir, k: int = TEXT_WIDTH) -> DataFrame:
         keys = [ID, "role"]
         counts = workspace.materialise(text.term_counts(rows, keys, "text"), "terms")
         words = workspace.materialise(text.fit_vocabulary(
-            counts.where(F.col("role") == "train"), train.select(F.count(F.lit(1))).scalar()),
+            counts.where(F.col("role") == "train"), train.select(F.count(F.lit(1))).scalar(), TEXT_TERMS),
             "vocabulary")
         cells = workspace.materialise(text.tfidf(counts, words, keys).select(
             F.col(ID).alias("row"), "role", F.col("term").alias("col"),
             F.col("weight").alias("value")), "cells")
         fitted = cells.where(F.col("role") == "train")
-        right, _ = factor.truncated_svd(fitted, k, iterations=3)
+        right, _ = factor.truncated_svd(fitted, k)
         out = factor.attach_embedding(rows.drop("text"), factor.project(cells, right, k), ID, k,
                                       "text")
         return _embedded(FoldFrame(fold.number, rows, []), out, [f"text_{i}" for i in range(k)])
@@ -368,7 +370,7 @@ def graph_view(spark, sf_dir, k: int = TEXT_WIDTH) -> DataFrame:
     """Trees on PPMI-SVD person embeddings and topic pair encodings."""
     log = TrainingLog(spark, sf_dir)
     frames = models.in_parallel([
-        lambda f=f: _graph_frame(log, f, lambda r: graph.ppmi_embedding(r, k, iterations=3), k, True)
+        lambda f=f: _graph_frame(log, f, lambda r: graph.ppmi_embedding(r, k), k, True)
         for f in log_folds(log)])
     return models.out_of_fold(frames, models.boosted("graph", maxIter=10))
 
@@ -432,12 +434,19 @@ def full_run(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------- one-hot baseline
 
 def one_hot_baseline(spark, sf_dir, cutoff: str = "2000-01-01") -> DataFrame:
-    """Most-frequent imputation, one-hot codes, balanced logistic regression on a time hold-out."""
+    """Most-frequent imputation, one-hot codes, balanced logistic regression on a time hold-out.
+
+    Rows without a date go to the validation side, as no training window holds them.
+    """
     log = TrainingLog(spark, sf_dir)
-    names = [*CATEGORICAL, TRAINER]
-    split = F.col("training_day") < F.lit(cutoff).cast("date")
-    train, val = log.train.where(split), log.train.where(~split)
-    common = train.agg(*[F.mode(c).alias(c) for c in names]).first().asDict()
+    names = [*CATEGORICAL, "belong_to_cooperative", TRAINER]
+    split = F.coalesce(F.col("training_day") < F.lit(cutoff).cast("date"), F.lit(False))
+    rows = log.train.withColumn("belong_to_cooperative", F.col("belong_to_cooperative").cast("string"))
+    train, val = rows.where(split), rows.where(~split)
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])
+    counts = train.select(F.inline(cells)).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("c").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    common = {r["c"]: r["v"] for r in most.collect()}
     train, val = train.fillna(common), val.fillna(common)
     indexed = StringIndexer(inputCols=names, outputCols=[f"{c}_i" for c in names],
                             handleInvalid="keep").fit(train)

@@ -15,8 +15,6 @@ from tidemark.sources import workspace
 
 HISTORY_SHARE = 0.4
 LABEL_SPAN = max(HORIZONS.values())
-# Bits kept for the supplier key when (line number, supplier) is packed into one sortable long.
-_SUPPLIER_BITS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +31,10 @@ def order_topics(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     Both aggregates combine on the map side, so an order that owns a large share of all lines
     shrinks to its distinct names before the shuffle.
     """
-    packed = F.shiftleft(F.col("l_linenumber").cast("long"), _SUPPLIER_BITS) + F.col("l_suppkey")
-    lines = lineitem.select("l_orderkey", "l_partkey", packed.alias("first_line"))
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
     named = lines.join(part.select("p_partkey", "p_name"),
                        F.col("l_partkey") == F.col("p_partkey"), "left")
-    supplier = F.min("first_line").bitwiseAND(F.lit((1 << _SUPPLIER_BITS) - 1))
+    supplier = F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey"))
     return named.groupBy("l_orderkey").agg(
         F.concat(F.lit("TRA_"), supplier).alias(TRAINER),
         F.sort_array(F.collect_set("p_name")).alias(TOPICS),

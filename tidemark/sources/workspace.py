@@ -8,6 +8,8 @@ table, so it broadcasts a lookup side only when its files are below
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
@@ -16,13 +18,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_memo: dict[tuple[str, str], str] = {}
-_locks: dict[tuple[str, str], threading.Lock] = {}
+_memo: dict[tuple, str] = {}
+_locks: dict[tuple, threading.Lock] = {}
 _guard = threading.Lock()
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one is made for local masters only."""
+    """The shared folder of this session.
+
+    A folder of the process's own, removed at its end, stands in only where the setting is missing
+    and the master is local.
+    """
     folder = spark.conf.get(_SETTING, None)
     if not folder:
         app = (spark.sparkContext.applicationId, "__root__")
@@ -30,11 +36,34 @@ def root(spark: SparkSession) -> str:
             if app not in _memo:
                 if not spark.sparkContext.master.startswith("local"):
                     raise RuntimeError(f"{_SETTING} must name a folder all executors can reach")
-                _memo[app] = tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
+                _memo[app] = tempfile.mkdtemp(prefix="tidemark-")
+                atexit.register(shutil.rmtree, _memo[app], ignore_errors=True)
             folder = _memo[app]
     return f"{folder.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def _files(spark: SparkSession, folder: str):
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application has written; tables read from there are gone."""
+    files, path = _files(spark, root(spark))
+    files.delete(path, True)
+    with _guard:
+        for slot in [s for s in _memo if s[0] == spark.sparkContext.applicationId and s[1] != "__root__"]:
+            del _memo[slot]
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Name, bytes and time of each table below a folder: it changes when a source does."""
+    files, path = _files(spark, folder)
+    return tuple(sorted((s.getPath().getName(), files.getContentSummary(s.getPath()).getLength(),
+                         s.getModificationTime()) for s in files.listStatus(path)))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -52,8 +81,12 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
 
 def shared(spark: SparkSession, key: str, build: Callable[[], DataFrame],
            partition_by: list[str] | None = None) -> DataFrame:
-    """Build and write a table once per application; later calls read the written files."""
-    slot = (spark.sparkContext.applicationId, key)
+    """Build and write a table once per application and state of its sources.
+
+    ``key`` is a name, a colon and the folder of the source tables; later calls read the written
+    files while that folder's listing stays the same.
+    """
+    slot = (spark.sparkContext.applicationId, key, listing(spark, key.split(":", 1)[1]))
     with _guard:
         lock = _locks.setdefault(slot, threading.Lock())
     with lock:
