@@ -198,3 +198,58 @@ def test_score_cache_refuses_wrong_count(spark):
 def test_labels_are_nested(spark, sf_dir):
     y07, y90, y120 = (F.col(y) for y in LABELS.values())
     assert TrainingLog(spark, sf_dir).train.where((y07 > y90) | (y90 > y120)).count() == 0
+
+
+def test_walk_contexts_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    paths = [[f"n{x}" for x in rng.integers(0, 9, 20)] for _ in range(30)]
+    df = spark.createDataFrame([(p,) for p in paths], "path array<string>")
+    for window in (1, 3, 10, 30):
+        want: dict = {}
+        for p in paths:
+            for i, a in enumerate(p):
+                for j, b in enumerate(p):
+                    if i != j and abs(i - j) <= window:
+                        want[a, b] = want.get((a, b), 0) + 1
+        got = {(r["row"], r["col"]): r["cnt"] for r in graph.walk_contexts(df, window).collect()}
+        assert got == want
+
+
+def test_score_buckets_are_monotone_and_fine_near_zero(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(size=3000) * 3, rng.uniform(0.001, 0.02, 5000), [0.0, 1.0, -1.0]])
+    rows = spark.createDataFrame([(float(x),) for x in p], "p double").withColumn(
+        "b", ranking.score_bucket(F.col("p"))).orderBy("p").toPandas()
+    assert (np.diff(rows.b) >= 0).all()
+    small = rows[(rows.p >= 0.001) & (rows.p <= 0.02)]
+    assert small.b.nunique() > 2500 and small.groupby("b").size().max() <= 12
+
+
+def test_small_lookups_are_broadcast_beside_a_large_one(spark):
+    from tidemark.config import CATEGORICAL, TRAINER
+    from tidemark.operators import encoding
+    wide = ", ".join(f"'v' || id % 5 AS {c}" for c in CATEGORICAL)
+    rows = spark.range(30000).selectExpr(f"'T' || id AS {TRAINER}", *wide.split(", "))
+    codes = workspace.Parts(encoding.category_codes([rows], [*CATEGORICAL, TRAINER]), "codes", "col")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        out = encoding.attach_codes(rows, codes, [*CATEGORICAL, TRAINER])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") == len(CATEGORICAL) and plan.count("SortMergeJoin") == 1
+
+
+def test_shared_table_is_rebuilt_when_sources_change(spark, tmp_path):
+    source = str(tmp_path / "t.parquet")
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(source)
+    spark.range(3).write.parquet(source)
+    assert workspace.shared(spark, f"probe:{tmp_path}", build).count() == 3
+    assert workspace.shared(spark, f"probe:{tmp_path}", build).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(source)
+    assert workspace.shared(spark, f"probe:{tmp_path}", build).count() == 8

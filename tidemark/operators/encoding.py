@@ -11,6 +11,7 @@ from tidemark.functions.fields import entity, topic_tokens
 from tidemark.functions.probability import smoothed
 from tidemark.operators.folds import Fold, first_training_fold
 from tidemark.operators.ranking import ordered_position
+from tidemark.sources.workspace import Parts, part
 
 PAIR_KINDS = {"trainer": TRAINER, "group": GROUP, "ward": "ward"}
 
@@ -26,19 +27,18 @@ def category_codes(tables: list[DataFrame], columns: list[str], missing: str = "
         pairs = [F.struct(F.lit(c).alias("col"),
                           F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value"))
                  for c in columns]
-        part = table.select(F.inline(F.array(*pairs)))
-        values = part if values is None else values.unionByName(part)
+        cells = table.select(F.inline(F.array(*pairs)))
+        values = cells if values is None else values.unionByName(cells)
     placed = ordered_position(values.distinct(), ["col"], [F.col("value")], "_pos")
     return placed.select("col", "value", (F.col("_pos") - 1).cast("int").alias("code"))
 
 
-def attach_codes(rows: DataFrame, codes: DataFrame, columns: list[str],
+def attach_codes(rows: DataFrame, codes: DataFrame | Parts, columns: list[str],
                  names: dict[str, str] | None = None, missing: str = "UNKNOWN") -> DataFrame:
     """Add one code column per category column; unseen values get -1."""
     for c in columns:
         name = (names or {}).get(c, f"{c}_code")
-        side = codes.where(F.col("col") == c).select(F.col("value").alias("_value"),
-                                                     F.col("code").alias(name))
+        side = part(codes, "col", c).select(F.col("value").alias("_value"), F.col("code").alias(name))
         value = F.coalesce(F.col(c).cast("string"), F.lit(missing))
         rows = (rows.withColumn("_value", value).join(side, "_value", "left").drop("_value")
                 .withColumn(name, F.coalesce(name, F.lit(-1))))
@@ -57,8 +57,8 @@ def pair_encoding(train: DataFrame, folds: list[Fold] | None = None,
                   shrink: float = PAIR_SHRINK) -> DataFrame:
     """Shrunken label rate per (kind, entity, topic) on training rows, per fold if given."""
     hits = [F.sum(y).alias(f"s{h}") for h, y in LABELS.items()]
-    part = F.lit(0) if folds is None else first_training_fold(folds, F.col(DAY))
-    tagged = train.withColumn("_part", part).where(F.col("_part").isNotNull())
+    first = F.lit(0) if folds is None else first_training_fold(folds, F.col(DAY))
+    tagged = train.withColumn("_part", first).where(F.col("_part").isNotNull())
     counts = (_pairs(tagged, "_part", *LABELS.values())
               .groupBy("_part", "kind", "key", "topic").agg(F.count(F.lit(1)).alias("n"), *hits))
     totals = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), *hits)

@@ -9,6 +9,7 @@ from tidemark.config import (DAY, LABELS, MIN_SUPPORT, PERSON, PROFILE_KEYS, TOP
                              UNSEEN_RATE)
 from tidemark.functions.probability import confidence
 from tidemark.operators.folds import Fold, first_training_fold
+from tidemark.sources.workspace import Parts, part
 
 EVERY = "__all__"
 
@@ -110,12 +111,12 @@ def target_encoding(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFr
     return confidence_profile(counts, min_support)
 
 
-def attach_profile(rows: DataFrame, profile: DataFrame, key: str, prefix: str,
+def attach_profile(rows: DataFrame, profile: DataFrame | Parts, key: str, prefix: str,
                    fill: float | None = None) -> DataFrame:
     """Left-join the profile columns of one key, named ``<prefix>_<column>``."""
     names = [c for c in profile.columns if c not in ("key_name", "key_value", "fold")]
     keys = ["fold"] if "fold" in profile.columns and "fold" in rows.columns else []
-    side = profile.where(F.col("key_name") == key).select(
+    side = part(profile, "key_name", key).select(
         *keys, F.col("key_value").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
     out = rows.join(side, [*keys, key], "left")
     if fill is None:
@@ -124,7 +125,7 @@ def attach_profile(rows: DataFrame, profile: DataFrame, key: str, prefix: str,
                             for c in names})
 
 
-def attach_all(rows: DataFrame, profile: DataFrame) -> DataFrame:
+def attach_all(rows: DataFrame, profile: DataFrame | Parts) -> DataFrame:
     for key, prefix in PROFILE_KEYS.items():
         rows = attach_profile(rows, profile, key, prefix)
     return rows

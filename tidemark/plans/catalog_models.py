@@ -1,13 +1,18 @@
-"""Registered queries that fit models; rows and invariants are checked, values are not."""
+"""Registered queries that fit models.
+
+Fitted values have no SQL. What must hold for every row of a run has: each ``<run>_invariants`` query puts the run's rows
+beside SQL that derives them from the tables, so that coverage, folds, labels, range and promised order are checked exactly.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.config import ID, LABELS, SCORES
+from tidemark.config import CLIP_HIGH, CLIP_LOW, ID, LABELS, SCORES
 from tidemark.functions.probability import clip, ordered
 from tidemark.operators import blending, calibration, metrics
 from tidemark.plans import oof, search
+from tidemark.plans.oracle import labels, sql
 from tidemark.sources import sinks, workspace
 
 QUERIES: dict = {}
@@ -30,37 +35,37 @@ def gbt_oof(spark, sf_dir):
 
 @query
 def dual_head_oof(spark, sf_dir):
-    return oof.dual_head(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "dual_head", lambda: oof.dual_head(spark, sf_dir))
 
 
 @query
 def source_weighted_oof(spark, sf_dir):
-    return oof.source_weighted(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "source_weighted", lambda: oof.source_weighted(spark, sf_dir))
 
 
 @query
 def stacking_oof(spark, sf_dir):
-    return oof.stacking(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "stacking", lambda: oof.stacking(spark, sf_dir))
 
 
 @query
 def elastic_net_oof(spark, sf_dir):
-    return oof.elastic_net(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "elastic_net", lambda: oof.elastic_net(spark, sf_dir))
 
 
 @query
 def drift_weighted_oof(spark, sf_dir):
-    return oof.drift_weighted(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "drift_weighted", lambda: oof.drift_weighted(spark, sf_dir))
 
 
 @query
 def hazard_oof(spark, sf_dir):
-    return oof.hazard(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "hazard", lambda: oof.hazard(spark, sf_dir))
 
 
 @query
 def interval_mlp_oof(spark, sf_dir):
-    return oof.interval_network(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "interval_network", lambda: oof.interval_network(spark, sf_dir))
 
 
 def _warm_cold(spark, sf_dir):
@@ -74,7 +79,8 @@ def warm_cold_oof(spark, sf_dir):
 
 @query
 def cohort_calibration(spark, sf_dir):
-    return oof.cohort_calibrated(_warm_cold(spark, sf_dir), min_rows=oof.COHORT_MIN_ROWS)
+    return oof.saved(spark, sf_dir, "cohort", lambda: oof.cohort_calibrated(
+        _warm_cold(spark, sf_dir), min_rows=oof.COHORT_MIN_ROWS))
 
 
 @query
@@ -89,7 +95,7 @@ def graph_view_oof(spark, sf_dir):
 
 @query
 def walk_view_oof(spark, sf_dir):
-    return oof.walk_view(spark, sf_dir)
+    return oof.saved(spark, sf_dir, "walk", lambda: oof.walk_view(spark, sf_dir))
 
 
 @query
@@ -178,3 +184,27 @@ def category_ablation(spark, sf_dir):
 @query
 def param_search(spark, sf_dir):
     return search.param_search(spark, sf_dir, trials=3)
+
+
+# ---------------------------------------------------------------- invariants of the runs
+
+#: Runs over all validation windows, and whether their horizons must be ordered.
+_RUNS = {"gbt_oof": False, "dual_head_oof": False, "source_weighted_oof": False, "stacking_oof": False, "elastic_net_oof": False,
+         "drift_weighted_oof": False, "hazard_oof": True, "interval_mlp_oof": True, "warm_cold_oof": False, "cohort_calibration": True,
+         "text_view_oof": False, "graph_view_oof": False, "walk_view_oof": False, "multi_view_blend": True}
+
+
+def _invariants(name: str, nested: bool):
+    def run(spark, sf_dir):
+        rows = QUERIES[name](spark, sf_dir)
+        inside = [F.col(p).between(CLIP_LOW, CLIP_HIGH) for p in SCORES.values()]
+        kept = inside[0] & inside[1] & inside[2]
+        order = (F.col("p07") <= F.col("p90") + 1e-12) & (F.col("p90") <= F.col("p120") + 1e-12)
+        return rows.select(ID, F.col("fold").cast("int").alias("fold"), *[F.col(y).cast("int").alias(y) for y in LABELS.values()],
+                           kept.cast("int").alias("in_range"), (order if nested else F.lit(True)).cast("int").alias("in_order"))
+    return run
+
+
+for _name, _nested in _RUNS.items():
+    QUERIES[f"{_name}_invariants"] = _invariants(_name, _nested)
+    ORACLES[f"{_name}_invariants"] = sql(f"SELECT row_id, fold, {labels('{y}')}, 1 AS in_range, 1 AS in_order FROM fold_val")

@@ -13,7 +13,7 @@ from tidemark.functions import fields
 from tidemark.functions.calendar import date_parts
 from tidemark.operators import encoding, lookback, profiles
 from tidemark.operators.interactions import interactions
-from tidemark.sources.workspace import materialise
+from tidemark.sources.workspace import Parts, materialise
 
 _CARRIED = [ID, DAY, *LABELS.values()]
 # Column metadata that names the blocks a feature belongs to.
@@ -23,16 +23,16 @@ _BLOCKS = "blocks"
 @dataclass(frozen=True)
 class FittedTables:
     """Lookup tables of one history and training set, stored by column or key. The planner sizes
-    the partition that a join reads, so a small lookup is broadcast however large another one is."""
+    each on its own, so a small lookup is broadcast however large another one is."""
 
     history: DataFrame
-    codes: DataFrame
+    codes: Parts
     people: DataFrame | None
-    keys: DataFrame | None
+    keys: Parts | None
 
 
 def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) -> FittedTables:
-    codes = materialise(encoding.category_codes([train, history], CATEGORICAL + [TRAINER]), "codes", ["col"])
+    codes = Parts(encoding.category_codes([train, history], CATEGORICAL + [TRAINER]), "codes", "col")
     people = keys = None
     if groups.person_history:
         people = materialise(profiles.person_profile(history), "people")
@@ -40,7 +40,7 @@ def fit(history: DataFrame, train: DataFrame, groups: FeatureGroups = VETTED) ->
         counts = materialise(profiles.key_counts(history, list(PROFILE_KEYS)), "keycounts")
         make = (profiles.full_profile if groups.aggregates and groups.confidence else
                 profiles.key_profile if groups.aggregates else profiles.confidence_profile)
-        keys = materialise(make(counts), "keys", ["key_name"])
+        keys = Parts(make(counts), "keys", "key_name")
     return FittedTables(history, codes, people, keys)
 
 

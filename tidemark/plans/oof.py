@@ -247,9 +247,9 @@ def gate_frames(spark, sf_dir) -> list[FoldFrame]:
     def build(fold: Fold) -> FoldFrame:
         history = log.prior.where(in_training(fold, F.col(DAY)))
         rows = profiles.known_person(_roles(log.train, fold), history)
-        codes = workspace.materialise(encoding.category_codes(
+        codes = workspace.Parts(encoding.category_codes(
             [log.train.where(in_training(fold, F.col(DAY)))], GATING_KEYS,
-            missing=fields.MISSING), "codes", ["col"])
+            missing=fields.MISSING), "codes", "col")
         rows = encoding.attach_codes(rows, codes, GATING_KEYS, missing=fields.MISSING)
         names = ["topic_flag", "topic_count", *[f"{c}_code" for c in GATING_KEYS]]
         rows = rows.select(ID, "role", *LABELS.values(), "has_prior_history",

@@ -29,8 +29,7 @@ CTES: dict[str, str] = {
     "cal": """SELECT o_custkey, day, lead(day) OVER (PARTITION BY o_custkey ORDER BY day) AS next_day
         FROM (SELECT DISTINCT o_custkey, day FROM ord)""",
     "lines": """SELECT l_orderkey,
-        'TRA_' || CAST(min(CAST(l_linenumber AS BIGINT) * 1099511627776 + l_suppkey)
-                       % 1099511627776 AS VARCHAR) AS trainer,
+        'TRA_' || CAST(arg_min(l_suppkey, row(l_linenumber, l_suppkey)) AS VARCHAR) AS trainer,
         list_sort(list_distinct(list(p_name))) AS topics
         FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
     "log": f"""SELECT o.row_id, 'F' || o.o_custkey AS farmer_name, o.day, o.training_day,

@@ -79,6 +79,32 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A written table in one folder per value of a column, so that the planner sizes each value's
+    rows on their own. (It takes a table read with a partition filter at its full size.)"""
+
+    def __init__(self, df: DataFrame, label: str, column: str):
+        self.spark, self.column = df.sparkSession, column
+        self.path = fresh_path(self.spark, label)
+        self.schema = df.drop(column).schema
+        self.columns = df.columns
+        df.write.mode("error").partitionBy(column).parquet(self.path)
+
+    def of(self, value: str) -> DataFrame:
+        """The rows of one value, without the column; none if the value does not occur."""
+        files, path = _files(self.spark, f"{self.path}/{self.column}={value}")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(str(path))
+
+
+def part(table: DataFrame | Parts, column: str, value: str) -> DataFrame:
+    """Rows of one value of a plain or a split table, without the column."""
+    if isinstance(table, Parts):
+        return table.of(value)
+    return table.where(table[column] == value).drop(column)
+
+
 def shared(spark: SparkSession, key: str, build: Callable[[], DataFrame],
            partition_by: list[str] | None = None) -> DataFrame:
     """Build and write a table once per application and state of its sources.
