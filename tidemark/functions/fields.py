@@ -68,6 +68,12 @@ def topic_text(topics: Column) -> Column:
     return F.array_join(topics, " ")
 
 
+def flag(value: Column) -> Column:
+    """1 or 0 from 0/1 or true/false in any case; NULL for anything else."""
+    text = F.lower(F.trim(value.cast("string")))
+    return F.when(text.isin("1", "true"), 1).when(text.isin("0", "false"), 0).cast("int")
+
+
 def known(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(UNKNOWN))
 

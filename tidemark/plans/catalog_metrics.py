@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.config import (CATEGORICAL, DATE, DAY, EXPECTED_RATES, ID, LABELS, PERSON, SCORES,
-                             TOPICS, TRAINER)
+from tidemark.config import (BINARY, CATEGORICAL, DATE, DAY, EXPECTED_RATES, GROUP, ID, LABELS, PERSON,
+                             SCORES, TOPICS, TRAINER)
 from tidemark.functions import fields, probability
 from tidemark.operators import blending, folds, gates, metrics, profiles, reports
 from tidemark.operators.ranking import exact_percentiles
@@ -728,14 +728,26 @@ def raw_log_roundtrip(spark, sf_dir):
     raw = rows.select(
         F.col(ID).cast("string"), PERSON, F.date_format(DATE, "yyyy-MM-dd").alias(DATE),
         F.concat(F.lit("['"), F.col(TRAINER), F.lit("']")).alias(TRAINER),
-        F.concat(F.lit("[["), F.array_join(topic, ", "), F.lit("]]")).alias(TOPICS),
-        *[F.col(y).cast("string").alias(y) for y in LABELS.values()])
+        F.concat(F.lit("[["), F.array_join(topic, ", "), F.lit("]]")).alias(TOPICS), GROUP, *CATEGORICAL,
+        *[F.col(c).cast("string").alias(c) for c in BINARY],
+        *[F.when(F.col(y) == 1, "True").otherwise("False").alias(y) for y in LABELS.values()])
     path = workspace.fresh_path(spark, "rawlog")
     sinks.write_csv(raw, path)
     back = sinks.read_raw_log(spark, path)
-    return back.select(ID, PERSON, DAY, TRAINER, F.array_join(TOPICS, "|").alias("topics"),
+    return back.select(ID, PERSON, DAY, TRAINER, F.array_join(TOPICS, "|").alias("topics"), GROUP, *CATEGORICAL, *BINARY,
                        *LABELS.values())
 
 
 ORACLES["raw_log_roundtrip"] = sql(f"""SELECT row_id, farmer_name, CAST(day AS INT) AS day, trainer,
-  array_to_string(topics, '|') AS topics, {labels('{y}')} FROM log""")
+  array_to_string(topics, '|') AS topics, group_name, {', '.join([*CATEGORICAL, *BINARY])}, {labels('{y}')} FROM log""")
+
+
+@query
+def score_label_match(spark, sf_dir):
+    """Rows scored and labelled, scored only, labelled only."""
+    scores = rate_oof(spark, sf_dir).where(F.col("model") == BASE)
+    return sinks.match_counts(scores, TrainingLog(spark, sf_dir).train, ID)
+
+
+ORACLES["score_label_match"] = sql("""SELECT (SELECT count(*) FROM fold_val) AS matched, 0::BIGINT AS left_only,
+  count(*) - (SELECT count(*) FROM fold_val) AS right_only FROM train""")

@@ -48,6 +48,11 @@ def _files(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _files(spark, folder)
+    return files.exists(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete everything this application has written; tables read from there are gone."""
     files, path = _files(spark, root(spark))
