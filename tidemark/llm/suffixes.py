@@ -266,7 +266,8 @@ def _by_windows(bodies: DataFrame, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(np.full(k, body)), pa.array(np.arange(k)),
                                                   *map(pa.array, hashes)], names=["name", "body", "at", "p", "q"])
     rows = bodies.mapInArrow(run, "name long, body long, at long, p long, q long")
-    again = rows.groupBy("p", "q").count().where("count > 1").select("p", "q")
+    # Written, so that the join shuffles both sides anew and can split a window with very many places.
+    again = write(rows.groupBy("p", "q").count().where("count > 1").select("p", "q"), "windows")
     found = rows.join(again.hint("merge"), ["p", "q"]).groupBy("name", "body").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
