@@ -257,7 +257,8 @@ def removed(docs: DataFrame, max_edits: int = 1, min_bytes: int = MIN_BYTES, buc
     marked = write(occurrences(docs, min_bytes).join(write(classes, "classes").hint("merge"), ["h1", "h2"])
                    .select("doc_id", "whole", "line", "root"), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    heads = marked.groupBy("root").agg(F.min(order).alias("head"))
+    # Written, so that the join shuffles both sides anew and can split a class with very many lines.
+    heads = write(marked.groupBy("root").agg(F.min(order).alias("head")), "heads").hint("merge")
     gone = marked.join(heads, "root").where(order != F.col("head"))
     return write(gone.groupBy("doc_id", "whole").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
 
