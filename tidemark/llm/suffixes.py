@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels as K
 from tidemark.llm.tables import two, write
 
-SPAN, GRAM, SHARD_BYTES = 200, 32, 1 << 20
+SPAN, GRAM, SHARD_BYTES = 200, 32, 1 << 19
 #: Texts that hold wanted segments are sent to the tasks as ids up to this many; more are joined.
 SENT_IDS = 400_000
 _TABLES = np.random.default_rng(8).integers(0, 1 << 64, (3, 256), dtype=np.uint64)
