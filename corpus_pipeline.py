@@ -40,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens."""
-    return packing.pack(docs, length=1024)
+    return packing.pack(docs, length=1024, added=True)
 
 
 STAGES = [("quality", keep_good), ("line_dedup", cut_lines), ("near_dedup", drop_copies), ("decontamination", drop_contaminated),

@@ -25,7 +25,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), length=1024)
+    return packing.pack(table(spark, sf_dir, "documents"), length=1024, added=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

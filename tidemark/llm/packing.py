@@ -7,7 +7,11 @@ boundary record per piece. Only the last sequence is not full.
 
 Ids are those of a tokenizer file. For a byte-level BPE whose merges make the ids in their order, merging by the
 smallest id gives the same as merging by rank, so its vocabulary is handed to the quicker rank encoder; any other
-file is encoded by the tokenizers library itself. Tests hold both against each other.
+file is encoded by the tokenizers library itself, and so is every text that holds an added token of the file or a run of
+white space on which the rank encoder's pattern could overflow. Tests hold both against each other.
+
+Special tokens of the file that stand in a text are its plain characters, or with ``added`` their own ids, as the
+tokenizers library gives them by default.
 
 Defined cases: a null or empty text has only the closing id; rows with a null or repeated id are
 packed like any other; the row order is that of the written partitions; an empty table gives an
@@ -17,6 +21,7 @@ empty table.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +41,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Partition totals are sent to the tasks up to this many (16 bytes each); more are joined.
 SENT_TOTALS = 2_000_000
 _GROUP = 1024
-_encoders: dict[str, Encoder] = {}
+#: Longer runs of white space go to the tokenizers library: the rank encoder's pattern keeps one state per character of a
+#: run, of at most 1,000,000, and fails beyond.
+SAFE_RUN = 100_000
+_SPACES = re.compile(r"\s+")
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_of() -> dict[str, int]:
@@ -65,46 +74,53 @@ def ranks(file: dict) -> dict[bytes, int] | None:
 class Encoder:
     """Token ids as bytes, by a tokenizer file; kept in the worker between tasks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
-            found = ranks(json.load(f))
+            file = json.load(f)
+        found = ranks(file)
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = not added
+        self.size = len(found) if found else self.own.get_vocab_size()
+        tokens = [t for t in file.get("added_tokens") or [] if added or not t["special"]]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in tokens)) if tokens else None
+        self.quick = None
         if found:
             import tiktoken
 
-            self.size = len(found)
-            self.ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
+            self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found, special_tokens={}).encode_ordinary
+        small = max([self.size, *(t["id"] + 1 for t in tokens)]) <= 1 << 16
+        self.kind, self.code = (np.uint16, "H") if small else (np.uint32, "I")
 
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
-            self.size = own.get_vocab_size()
-            self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
-        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.code = "H" if self.size <= 1 << 16 else "I"
+    def ids(self, text: str) -> list[int]:
+        if self.quick and not (self.added and self.added.search(text)) and not (
+                len(text) > SAFE_RUN and any(m.end() - m.start() > SAFE_RUN for m in _SPACES.finditer(text))):
+            return self.quick(text)
+        return self.own.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         return array(self.code, self.ids(text)).tobytes()
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, added: bool = False) -> Encoder:
     """The worker's encoder; the default file is looked up on the worker itself."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
-def tokens(docs: DataFrame, path: str | None = None, end: int = 0) -> DataFrame:
+def tokens(docs: DataFrame, path: str | None = None, end: int = 0, added: bool = False) -> DataFrame:
     """``doc_id, part, before, n, ids``: ids as bytes with the closing id, and the ids before them there."""
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("n", pa.int64()),
                         ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, added)
         part, before = TaskContext.get().partitionId(), 0
         close = np.array([end], enc.kind).tobytes()
         for rows in batches:
@@ -128,11 +144,12 @@ def _offsets(written: DataFrame) -> DataFrame:
     return write(inside.join(outside, "group").select("part", (F.col("inner") + F.col("outer")).alias("offset")), "offsets")
 
 
-def pack(docs: DataFrame, length: int = 1024, path: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, path: str | None = None, end: int = 0, with_ids: bool = False,
+         added: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked, ``ids``."""
     if length < 1:
         raise ValueError("length must be positive")
-    written = write(tokens(docs, path, end), "tokens")
+    written = write(tokens(docs, path, end, added), "tokens")
     offsets = _offsets(written)
     if offsets.count() <= SENT_TOTALS:
         offsets = F.broadcast(offsets)
