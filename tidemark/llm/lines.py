@@ -1,8 +1,8 @@
 """Line deduplication: a segment-partition edit join over all lines.
 
-Lines (between newlines) of at least ``min_bytes`` are compared, the others always stay. Two lines
-link when at most ``max_edits`` byte insertions, deletions or substitutions lead from one to the
-other; classes are the components of links, and a class keeps its first line by (doc_id, line).
+Lines (between newlines) of at least ``min_bytes`` are compared; the others stay, or with ``exact`` are
+compared for equality from that many bytes on. Two lines link when at most ``max_edits`` insertions,
+deletions or substitutions of bytes, or with ``characters`` of code points, lead from one to the other; classes are the components of links, and a class keeps its first line by (doc_id, line).
 
 * A line is cut into ``max_edits + 1`` even segments. If it is within the threshold of a line that is
   not shorter, one segment occurs there unchanged, shifted by little; which shifts need a look for
@@ -14,8 +14,10 @@ other; classes are the components of links, and a class keeps its first line by
 * A name shared by more than ``bucket`` lines would emit the square of them. For a threshold of one
   edit its members go another exact way: lines that are equal once byte ``i`` is left out differ
   only there, and a line that becomes another by leaving out a byte is one edit from it. Both are
-  equality keys whose groups are linked to one member: one row per byte, no pairs. Larger
-  thresholds pair all buckets, which is exact but quadratic in a family of that many near lines.
+  equality keys whose groups are linked to one member: one row per byte, no pairs. For larger
+  thresholds the members are linked by single edits in this way first; those outside of a name's
+  largest class are then paired with the members of other classes. That is exact, but still quadratic
+  in a family of lines that lie two edits or more apart with no line between them.
 
 Texts are read twice more (candidate lines, the final cut) rather than carried through shuffles.
 
@@ -27,6 +29,7 @@ and then has an empty text; an empty table gives an empty table; other columns s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +46,39 @@ MIN_BYTES = 32
 SENT_IDS = 400_000
 
 
+class Rule(NamedTuple):
+    """What is compared: edits of bytes or of characters, between lines of at least ``least`` of them. Lines of at least
+    ``exact`` bytes are compared for equality; without it, only those of ``least``."""
+
+    edits: int = 1
+    least: int = MIN_BYTES
+    characters: bool = False
+    exact: int | None = None
+
+
 class Lines:
-    """Positions of the comparable lines of a block of texts."""
+    """Positions of the comparable lines of a block of texts, in bytes; ``length`` is in the unit of the edits."""
 
-    def __init__(self, texts: list[bytes], min_bytes: int):
+    def __init__(self, texts: list[bytes], rule: Rule):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(16), np.uint8)
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         end = np.flatnonzero(self.data[:int(size.sum())] == 10)
         start = np.concatenate([np.zeros(1, np.int64), end[:-1] + 1])
         doc = np.searchsorted(np.cumsum(size) - 1, end, side="left")
         number = np.arange(len(end)) - np.searchsorted(doc, doc, side="left")
-        long = end - start >= min_bytes
+        head = np.flatnonzero((self.data & 0xC0) != 0x80) if rule.characters else None
+        first, last = (start, end) if head is None else (np.searchsorted(head, start), np.searchsorted(head, end))
+        long = (end - start >= rule.exact) if rule.exact is not None else last - first >= rule.least
+        self.head, self.first, self.length = head, first[long], (last - first)[long]
+        self.fuzzy = self.length >= rule.least
         self.start, self.end, self.doc, self.number = start[long], end[long], doc[long], number[long]
         self.size = self.end - self.start
         self.text = np.cumsum(size) - size, size - 1
 
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The byte at which the unit numbered ``place`` of the block begins."""
+        return place if self.head is None else self.head[place]
+
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         return (K.xxh64(self.data, self.start, self.size, 42).view(np.int64),
                 K.xxh64(self.data, self.start, self.size, 7).view(np.int64))
@@ -76,11 +97,13 @@ def names(max_edits: int) -> list[tuple[int, int, int]]:
 
 
 def _name(lines: Lines, max_edits: int, diff: int, segment: int, shift: int) -> pa.Array:
-    short = lines.size - diff
+    short = lines.length - diff
     lo, hi = segment * short // (max_edits + 1), (segment + 1) * short // (max_edits + 1)
     at = lo + shift
-    ok = (short > 0) & (at >= 0) & (at + hi - lo <= lines.size)
-    h = K.xxh64(lines.data, np.where(ok, lines.start + at, 0), np.where(ok, hi - lo, 0), 42)
+    ok = lines.fuzzy & (short > 0) & (at >= 0) & (at + hi - lo <= lines.length)
+    begin = lines.at(np.where(ok, lines.first + at, 0))
+    stop = lines.at(np.where(ok, lines.first + at + hi - lo, 0))
+    h = K.xxh64(lines.data, begin, stop - begin, 42)
     with np.errstate(over="ignore"):
         h = (h ^ (short.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(segment)
     return pa.array(h.view(np.int64), mask=~ok)
@@ -94,31 +117,31 @@ def _scan(docs: DataFrame, schema: str, make) -> DataFrame:
     return two(docs).where("text is not null").mapInArrow(run, schema)
 
 
-def occurrences(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, whole, line, h1, h2`` of every comparable line; ``whole`` is a hash of its text."""
     def make(texts, ids):
-        lines = Lines(texts, min_bytes)
+        lines = Lines(texts, rule)
         whole = K.xxh64(lines.data, *lines.text).view(np.int64)[lines.doc]
         return pa.RecordBatch.from_arrays([ids.take(pa.array(lines.doc)), *map(pa.array, (whole, lines.number, *lines.ids()))],
                                           names=["doc_id", "whole", "line", "h1", "h2"])
     return _scan(docs, "doc_id long, whole long, line long, h1 long, h2 long", make)
 
 
-def _distinct(docs: DataFrame, min_bytes: int, specs: list, max_edits: int) -> DataFrame:
+def _distinct(docs: DataFrame, specs: list, rule: Rule) -> DataFrame:
     """Distinct lines: ``h1, h2, n`` and their names ``k0, k1, ...`` (all copies have the same)."""
     columns = ["h1", "h2", *(f"k{i}" for i in range(len(specs)))]
 
     def make(texts, _):
-        lines = Lines(texts, min_bytes)
-        return pa.RecordBatch.from_arrays([*map(pa.array, lines.ids()), *(_name(lines, max_edits, *s) for s in specs)], names=columns)
+        lines = Lines(texts, rule)
+        return pa.RecordBatch.from_arrays([*map(pa.array, lines.ids()), *(_name(lines, rule.edits, *s) for s in specs)], names=columns)
     return (_scan(docs, ", ".join(f"{c} long" for c in columns), make).groupBy("h1", "h2")
             .agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in columns[2:]]))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """``id, body`` of the wanted distinct lines, from another pass over the texts."""
     def make(texts, _):
-        lines = Lines(texts, min_bytes)
+        lines = Lines(texts, rule)
         h1, h2 = lines.ids()
         _, first = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
         body = [lines.data[s:e].tobytes() for s, e in zip(lines.start[first], lines.end[first], strict=True)]
@@ -130,7 +153,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
     return write(found.dropDuplicates(["h1", "h2"]).select(F.struct("h1", "h2").alias("id"), "body"), "line-texts")
 
 
-def within(a: bytes, b: bytes, limit: int) -> bool:
+def _units(body: bytes, characters: bool) -> bytes | str:
+    return body.decode("utf-8", "surrogateescape") if characters else body
+
+
+def within(a: bytes | str, b: bytes | str, limit: int) -> bool:
     """Whether ``a`` and ``b`` are at most ``limit`` edits apart: bit-parallel, in a band of diagonals."""
     if len(a) > len(b):
         a, b = b, a
@@ -171,14 +198,15 @@ def within(a: bytes, b: bytes, limit: int) -> bool:
     return score <= limit
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, max_edits: int) -> DataFrame:
-    """The candidate pairs ``a, b`` whose bytes are within the threshold."""
+def _verified(pairs: DataFrame, bodies: DataFrame, limit: int, characters: bool) -> DataFrame:
+    """The candidate pairs ``a, b`` whose bytes or characters are within ``limit``."""
     met = (pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("left")), "a")
            .join(bodies.select(F.col("id").alias("b"), F.col("body").alias("right")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            ok = [within(x, y, max_edits) for x, y in zip(rows.column(4).to_pylist(), rows.column(5).to_pylist(), strict=True)]
+            sides = [[_units(x, characters) for x in rows.column(i).to_pylist()] for i in (4, 5)]
+            ok = [within(x, y, limit) for x, y in zip(*sides, strict=True)]
             yield rows.filter(pa.array(ok, pa.bool_())).select([0, 1, 2, 3])
     flat = met.select("a.h1", "a.h2", F.col("b.h1").alias("g1"), F.col("b.h2").alias("g2"), "left", "right")
     kept = flat.mapInArrow(run, "h1 long, h2 long, g1 long, g2 long")
@@ -189,15 +217,17 @@ _TABLES = np.random.default_rng(3).integers(0, 1 << 64, (2, 256), dtype=np.uint6
 _BASES = [0x9FB21C651E98DF25 | 1, 0xA24BAED4963EE407 | 1]
 
 
-def _left_out(body: bytes) -> tuple[list[np.ndarray], list[np.uint64]]:
-    """Two hashes of the line without each byte, and of the line itself, as polynomials over 2^64."""
-    x = np.frombuffer(body, np.uint8)
+def _left_out(line: bytes | str) -> tuple[list[np.ndarray], list[np.uint64]]:
+    """Two hashes of the line without each unit, and of the line itself, as polynomials over 2^64."""
+    wide = isinstance(line, str)
+    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") if wide else np.frombuffer(line, np.uint8)
     without, whole = [], []
     for values, base in zip(_TABLES, _BASES, strict=True):
         powers = np.full(len(x), base, np.uint64)
         powers[0] = 1
         with np.errstate(over="ignore"):
-            terms = values[x] * np.cumprod(powers, dtype=np.uint64)
+            known = values[x & 255] + (x >> 8).astype(np.uint64) * values[x >> 8 & 255] if wide else values[x]
+            terms = known * np.cumprod(powers, dtype=np.uint64)
             prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
             back = np.uint64(pow(base, -1, 1 << 64))
             without.append(prefix[:-1] + (prefix[-1] - prefix[1:]) * back)
@@ -205,13 +235,14 @@ def _left_out(body: bytes) -> tuple[list[np.ndarray], list[np.uint64]]:
     return without, whole
 
 
-def _hot_links(bodies: DataFrame) -> DataFrame:
-    """Candidate links of crowded lines: equal but for one byte, or equal to another without one."""
+def _hot_links(bodies: DataFrame, characters: bool) -> DataFrame:
+    """Candidate links of crowded lines: equal but for one unit, or equal to another without one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for h1, h2, body in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                (p, q), (w, v) = _left_out(body)
-                n = len(body)
+                line = _units(body, characters)
+                (p, q), (w, v) = _left_out(line)
+                n = len(line)
                 place = np.concatenate([np.arange(n), np.full(n, -1), np.full(1, -1)])
                 key = [np.concatenate([x, x, [y]]).astype(np.uint64).view(np.int64) for x, y in ((p, w), (q, v))]
                 size = np.concatenate([np.full(n, n), np.full(n, n - 1), [n]])
@@ -227,34 +258,65 @@ def _hot_links(bodies: DataFrame) -> DataFrame:
     return rows.join(centres, key).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame, max_edits: int = 1, min_bytes: int = MIN_BYTES, bucket: int = 64) -> DataFrame:
+def _across(hot: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of crowded lines that share a name and are not connected by single edits: the lines outside of
+    the largest connected class of a name are paired with all others."""
+    roots = components(near)
+    rows = (hot.join(roots.withColumnRenamed("node", "id"), "id", "left")
+            .select("key", "id", "own", F.coalesce("root", "id").alias("root")))
+    rows = write(rows, "crowd-roots")
+    classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = classes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("m")).where("m > 1")
+    rows = write(rows.join(top.drop("m").hint("merge"), "key"), "crowd-names")
+    left = rows.where("root <> top").select("key", F.col("id").alias("a"), F.col("own").alias("mine"), F.col("root").alias("r"))
+    right = rows.select("key", F.col("id").alias("b"), "own", "root")
+    return left.join(right, "key").where("r <> root and (mine or own)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(docs: DataFrame, distinct: DataFrame, rule: Rule, bucket: int = 64) -> DataFrame:
     """Verified links ``a, b`` between distinct lines (structs of two hashes)."""
+    max_edits, characters = rule.edits, rule.characters
     specs = names(max_edits)
     named = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i <= max_edits).alias("own")) for i in range(len(specs))])
     rows = (distinct.select(F.struct("h1", "h2").alias("id"), F.explode(named).alias("k"))
             .select("id", "k.key", "k.own").where("key is not null"))
     met = write(rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("n > 1 and m > 0"), "line-names")
     shared = write(rows.join(met.hint("merge"), "key"), "shared-names")
-    cold = shared.where(F.col("n") <= bucket) if max_edits == 1 else shared
+    cold = shared.where(F.col("n") <= bucket) if max_edits else shared
     left, right = cold.where("own").select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"), "own")
     pairs = left.join(right, "key").where("a <> b and (a < b or not own)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = shared.where(F.col("n") > bucket)
+    crowd = write((hot if max_edits else hot.limit(0)).select("id").distinct(), "crowd")
+    crowded = not crowd.isEmpty()
+    near = None
+    if crowded and max_edits > 1:
+        bodies = _texts(docs, crowd, rule)
+        near = write(_verified(_hot_links(bodies, characters), bodies, 1, characters), "near")
+        pairs = pairs.union(_across(hot.select("key", "id", "own"), near))
     pairs = write(pairs.distinct(), "line-pairs")
-    crowd = shared.where(F.col("n") > bucket).select("id").distinct() if max_edits == 1 else shared.select("id").limit(0)
-    crowd = write(crowd, "crowd")
-    bodies = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowd), min_bytes)
-    some = _hot_links(bodies.join(crowd, "id", "left_semi"))
-    return _verified(pairs.union(some).distinct(), bodies, max_edits)
-
-
-def removed(docs: DataFrame, max_edits: int = 1, min_bytes: int = MIN_BYTES, bucket: int = 64) -> DataFrame:
-    """``doc_id, whole, gone``: sorted numbers of the lines that go, for texts that lose any."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    one = crowded and max_edits == 1
+    bodies = _texts(docs, wanted.union(crowd) if one else wanted, rule)
+    if one:
+        pairs = pairs.union(_hot_links(bodies.join(crowd, "id", "left_semi"), characters)).distinct()
+    found = _verified(pairs, bodies, max_edits, characters)
+    return found.union(near) if near is not None else found
+
+
+def removed(docs: DataFrame, max_edits: int = 1, min_bytes: int = MIN_BYTES, bucket: int = 64, characters: bool = False,
+            exact: int | None = None) -> DataFrame:
+    """``doc_id, whole, gone``: sorted numbers of the lines that go, for texts that lose any. With ``characters`` the
+    edits and ``min_bytes`` count characters."""
     if max_edits < 0 or min_bytes <= max_edits:
         raise ValueError("max_edits must not be negative and be below min_bytes")
-    distinct = write(_distinct(docs, min_bytes, names(max_edits), max_edits), "lines")
-    roots = components(links(docs, distinct, max_edits, min_bytes, bucket))
+    if exact is not None and not 1 <= exact <= min_bytes:
+        raise ValueError("exact must be positive and not above min_bytes")
+    rule = Rule(max_edits, min_bytes, characters, exact)
+    distinct = write(_distinct(docs, names(max_edits), rule), "lines")
+    roots = components(links(docs, distinct, rule, bucket))
     classes = (distinct.where("n > 1").select(F.struct("h1", "h2").alias("node"))
                .join(roots, "node", "full").select("node.h1", "node.h2", F.coalesce("root", "node").alias("root")))
-    marked = write(occurrences(docs, min_bytes).join(write(classes, "classes").hint("merge"), ["h1", "h2"])
+    marked = write(occurrences(docs, rule).join(write(classes, "classes").hint("merge"), ["h1", "h2"])
                    .select("doc_id", "whole", "line", "root"), "marked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     # Written, so that the join shuffles both sides anew and can split a class with very many lines.
