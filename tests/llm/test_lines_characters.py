@@ -66,3 +66,7 @@ def test_query_takes_two_characters(spark, tmp_path):
     texts = [long, long.replace("17", "28", 1), long.replace("e", "é", 1), long + "語", long.replace("17", "289", 1) + "xy",
              "the café of the town at the river 1", "the cafe of the town at the river 2"]
     assert query(spark, tmp_path, texts) == [0, 1, 1, 1, 0, 0, 1]
+
+
+def test_query_cuts_short_repeats(spark, tmp_path):
+    assert query(spark, tmp_path, ["ok\n\nshare this\nonly here", "share this\n\nok", "sharE this\n語", "語\nok"]) == [0, 2, 0, 2]

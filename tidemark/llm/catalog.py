@@ -46,7 +46,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=lines.MIN_BYTES, characters=True)
+    return lines.digest(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=lines.MIN_CHARACTERS, characters=True, exact=1)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ from tidemark.llm.components import components
 from tidemark.llm.tables import two, write
 
 MIN_BYTES = 32
+#: Least length of lines that the query links by edits; shorter ones are compared for equality.
+MIN_CHARACTERS = 16
 #: Candidate line ids are sent to the tasks up to this many (some 100 bytes each); more are joined.
 SENT_IDS = 400_000
 
