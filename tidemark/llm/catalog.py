@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hnsw, licenses, lines, packing, quality, simhash, suffixes, toxicity, urls
+from tidemark.llm import decontam, hnsw, licenses, lines, packing, periods, quality, simhash, suffixes, toxicity, urls
 from tidemark.llm.tables import table
 
 
@@ -54,6 +54,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.neighbours(vectors, hnsw.hundredth(vectors), k=10)
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(table(spark, sf_dir, "documents"), least=24, copies=3, rewrite=periods.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -65,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_lines": op9_lines,
     "op10_neighbours": op10_neighbours,
+    "op11_periods": op11_periods,
 }
 ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE}
