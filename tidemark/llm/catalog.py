@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, hnsw, licenses, lines, packing, periods, quality, simhash, suffixes, toxicity, urls
+from tidemark.llm import decontam, exact, hnsw, licenses, lines, negatives, packing, periods, quality, simhash, suffixes, toxicity, urls
 from tidemark.llm.tables import table
 
 
@@ -58,6 +58,16 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(table(spark, sf_dir, "documents"), least=24, copies=3, rewrite=periods.planted)
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0, scale=256, positives=5, k=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -70,5 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_neighbours": op10_neighbours,
     "op11_periods": op11_periods,
+    "op12_exact": op12_exact,
+    "op13_negatives": op13_negatives,
 }
-ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op3_urls": urls.ORACLE, "op7_decontamination": decontam.ORACLE, "op12_exact": exact.ORACLE,
+                           "op13_negatives": negatives.ORACLE}
