@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Texts become words; every run of ``gram`` words has a hash, and of each sliding window of hashes the
-smallest is kept. The window is so long that any span of ``span`` shared words keeps at least one equal
+smallest is kept. A word is hashed once; hashes of grams and minima of windows come from pairs by doubling. The window is so long that any span of ``span`` shared words keeps at least one equal
 hash on both sides, so joining kept hashes of documents and benchmark items finds all of them. A hit
 is extended: it carries the hashes around it, from which each window of ``span`` words that holds it is
-named by its first and last gram (together they cover all its words) and joined with the items' windows.
+named by its first and last gram (together they cover all its words) and joined with the items' windows. A window that one
+gram covers is named by two hashes of it, so that no match rests on a single one.
 Items shorter than ``span`` words are one window of their own length and get grams that fit; each length
 that occurs (fewer than ``span``) adds a set of grams.
 
@@ -38,31 +39,78 @@ def _indices(size: Column) -> Column:
     return F.when(size >= 1, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
 
 
-def _grams(column: str, gram: int) -> Column:
-    return F.transform(_indices(F.size(column) - (gram - 1)), lambda i: F.xxhash64(F.slice(column, i, gram)))
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _kept(column: str, width: int) -> Column:
-    """Positions (from 1) of the leftmost smallest hash of each window."""
-    at = lambda i: F.slice(column, i, width)
-    return F.array_distinct(F.transform(_indices(F.size(column) - (width - 1)), lambda i: (
-        i + F.array_position(at(i), F.array_min(at(i))) - 1).cast("int")))
+def _shifted(values: Column, by: int) -> Column:
+    return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
 
 
-def _item(column: str):
-    return lambda i: F.element_at(F.col(column), i)
+def _folded(values: Column, width: int, meet, body, size: int = 1, total: Column | None = None, done: int = 0) -> Column:
+    """``body`` of what each ``width`` neighbouring values give when put together by doubling, so that a value costs a
+    logarithm of the width. What stands near the end has too few neighbours and must be cut or do without."""
+    def double(joined: Column | None, count: int) -> Column:
+        if size * 2 > width:
+            return body(joined)
+        return _bound(F.zip_with(values, _shifted(values, size), meet), lambda x: _folded(x, width, meet, body, size * 2, joined, count))
+    if not width & size:
+        return double(total, done)
+    if total is None:
+        return double(values, size)
+    return _bound(F.zip_with(total, _shifted(values, done), meet), lambda x: double(x, done + size))
 
 
-def _ends(item, last: int):
-    return lambda i: F.struct(item(i).alias("head"), item(i + last).alias("tail"))
+def _hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
 
 
-def _around(n: int, reach: int):
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _greatest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _cut(values: Column, width: int) -> Column:
+    """Without the positions that have fewer than ``width`` values from there on."""
+    return F.slice(values, 1, F.greatest(F.size(values) - (width - 1), F.lit(0)))
+
+
+def _kept(hashes: Column, width: int) -> Column:
+    """Positions (from 1) whose hash is the smallest of some window: it equals the greatest of the minima of its windows."""
+    def around(minima: Column) -> Column:
+        return F.concat(F.array_repeat(F.lit(None).cast("long"), width - 1), _cut(minima, width))
+
+    def equal(top: Column) -> Column:
+        return F.filter(_indices(F.size(hashes)), lambda i: F.element_at(hashes, i) == F.element_at(top, i))
+    return _folded(hashes, width, _least, lambda m: _bound(around(m), lambda x: _folded(x, width, _greatest, equal)))
+
+
+def _second(column: str, length: int):
+    """Another hash of the ``length`` words from a position, for windows that one gram covers."""
+    return lambda i: F.xxhash64(F.lit(length), F.slice(column, i, length))
+
+
+def _item(column: str, ahead: int = 0):
+    return lambda i: F.element_at(F.col(column), i + ahead)
+
+
+def _ends(head, tail):
+    return lambda i: F.struct(head(i).alias("head"), tail(i).alias("tail"))
+
+
+def _around(n: int, gram: int):
     """A kept position with the hashes that the windows around it begin and end with."""
+    reach = n - _gram_of(n, gram)
+
     def make(p):
         start = F.greatest(F.lit(1), p - reach)
-        return F.struct(F.lit(n).alias("length"), F.element_at(F.col(f"g{n}"), p).alias("mark"), start.alias("start"),
-                        (p - start + 1).alias("place"), F.slice(f"g{n}", start, p + reach - start + 1).alias("around"))
+        mark = F.element_at(F.col(f"g{n}"), p)
+        around = F.slice(f"g{n}", start, p + reach - start + 1) if reach else F.array(mark, _second("words", n)(p))
+        return F.struct(F.lit(n).alias("length"), mark.alias("mark"), start.alias("start"), (p - start + 1).alias("place"), around.alias("around"))
     return make
 
 
@@ -72,12 +120,11 @@ def _gram_of(length: int, gram: int) -> int:
 
 
 def _with_hashes(rows: DataFrame, lengths: list[int], gram: int) -> DataFrame:
-    """Adds ``g<length>``, the gram hashes, and ``p<length>``, the kept positions."""
-    for n in lengths:
-        rows = rows.withColumn(f"g{n}", _grams("words", _gram_of(n, gram)))
-    for n in lengths:
-        rows = rows.withColumn(f"p{n}", _kept(f"g{n}", n - _gram_of(n, gram) + 1))
-    return rows
+    """Adds ``g<length>``, the gram hashes, and ``p<length>``, the positions (from 1) whose hash is the smallest of some window."""
+    rows = rows.withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
+    sizes = {n: _gram_of(n, gram) for n in lengths}
+    rows = rows.withColumns({f"g{n}": _folded(F.col("w"), m, _hash, lambda x, m=m: _cut(x, m)) for n, m in sizes.items()}).drop("w")
+    return rows.withColumns({f"p{n}": _kept(F.col(f"g{n}"), n - m + 1) for n, m in sizes.items()})
 
 
 def items(benchmark: DataFrame, span: int) -> DataFrame:
@@ -124,7 +171,8 @@ def _index(bench: DataFrame, lengths: list[int], gram: int) -> tuple[DataFrame,
         last = n - _gram_of(n, gram)
         pick = F.transform(f"p{n}", _item(f"g{n}"))
         marks = marks.union(rows.select(F.lit(n), F.explode(pick)))
-        ends = F.transform(_indices(F.size(f"g{n}") - last), _ends(_item(f"g{n}"), last))
+        tail = _item(f"g{n}", last) if last else _second("words", n)
+        ends = F.transform(_indices(F.size(f"g{n}") - last), _ends(_item(f"g{n}"), tail))
         windows = windows.union(rows.select("item_id", F.explode(ends).alias("w")).select(F.lit(n), "w.head", "w.tail", "item_id"))
     return write(marks.distinct(), "marks"), write(windows.distinct(), "windows")
 
@@ -140,7 +188,7 @@ def _meet(docs: DataFrame, marks: DataFrame, lengths: list[int], gram: int) -> D
     kept = [F.array(F.struct(F.lit(0).alias("length"), F.lit(None).cast("long").alias("mark"), F.lit(0).alias("start"),
                              F.lit(0).alias("place"), F.lit(None).cast("array<bigint>").alias("around")))]
     for n in lengths:
-        kept.append(F.transform(f"p{n}", _around(n, n - _gram_of(n, gram))))
+        kept.append(F.transform(f"p{n}", _around(n, gram)))
     out = rows.select("doc_id", "doc_key", "text_key", F.size("words").alias("n_words"), F.posexplode(F.concat(*kept)).alias("at", "k"))
     out = out.select("doc_id", "doc_key", "text_key", "n_words", (F.col("at") == 0).alias("first"), "k.*")
     met = out.join(marks.withColumn("met", F.lit(True)), ["length", "mark"], "left").where("first or met")
@@ -151,7 +199,7 @@ def _extend(hits: DataFrame, windows: DataFrame, lengths: list[int], gram: int)
     """Windows around the hits that some item has: ``doc_key, text_key, start, length, item_id``."""
     reach = F.lit(0)
     for n in lengths:
-        reach = F.when(F.col("length") == n, n - _gram_of(n, gram)).otherwise(reach)
+        reach = F.when(F.col("length") == n, max(1, n - _gram_of(n, gram))).otherwise(reach)
     rows = hits.withColumn("reach", reach)
     steps = F.transform(_indices(F.least(F.col("place"), F.size("around") - F.col("reach"))), lambda i: F.struct(
         (F.col("start") + i - 1).alias("start"), F.element_at("around", i).alias("head"),
