@@ -11,15 +11,16 @@ deletions or substitutions of bytes, or with ``characters`` of code points, lead
 * Equal lines collapse to one (128-bit hash) before anything is joined. Names shared by several lines
   are counted, their members met by an equality join, and candidates verified on the bytes by a
   banded bit-parallel edit distance.
-* A name shared by more than ``bucket`` lines would emit the square of them. For a threshold of one
-  edit its members go another exact way: lines that are equal once byte ``i`` is left out differ
-  only there, and a line that becomes another by leaving out a byte is one edit from it. Both are
-  equality keys whose groups are linked to one member: one row per byte, no pairs. For larger
-  thresholds the members are linked by single edits in this way first; those outside of a name's
-  largest class are then paired with the members of other classes. That is exact, but still quadratic
-  in a family of lines that lie two edits or more apart with no line between them.
+* A name shared by more than ``bucket`` lines would emit the square of them. Its members go another
+  exact way: lines that are equal once byte ``i`` is left out differ only there, and a line that becomes
+  another by leaving out a byte is one edit from it. Both are equality keys whose groups are linked to
+  one member: one row per byte, no pairs. For two edits, lines that leave one string when a byte is left out of each are
+  linked in this way too, and what is still unconnected is met by names of all but two ranges, cut ever finer where they are
+  crowded (``families.py``). For three and more edits the lines outside of a name's largest class are paired
+  with those of other classes, which is exact but can be quadratic; no registered query does so.
 
-Texts are read twice more (candidate lines, the final cut) rather than carried through shuffles.
+Texts are read twice more (candidate lines, the final cut) rather than carried through shuffles; a filter of fixed size
+keeps all but candidate lines from being sent on.
 
 Defined cases: a null text has no lines and stays null; a null id comes last in the order; rows that share
 an id are equal in it, so repeated rows keep the same lines; a document may lose all its lines
@@ -37,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import families
 from tidemark.llm import kernels as K
 from tidemark.llm.components import components
+from tidemark.llm.sketch import sketch
 from tidemark.llm.tables import two, write
 
 MIN_BYTES = 32
 #: Least length of lines that the query links by edits; shorter ones are compared for equality.
 MIN_CHARACTERS = 16
-#: Candidate line ids are sent to the tasks up to this many (some 100 bytes each); more are joined.
-SENT_IDS = 400_000
 
 
 class Rule(NamedTuple):
@@ -141,36 +142,47 @@ def _distinct(docs: DataFrame, specs: list, rule: Rule) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """``id, body`` of the wanted distinct lines, from another pass over the texts."""
+    """``id, body`` of the wanted distinct lines, from another pass over the texts that sends on little else."""
+    wanted = write(wanted.select("id.h1", "id.h2").distinct(), "wanted")
+    likely = sketch(wanted, "h1")
+
     def make(texts, _):
         lines = Lines(texts, rule)
         h1, h2 = lines.ids()
-        _, first = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
+        some = np.flatnonzero(likely.holds(h1))
+        _, first = np.unique(np.stack([h1[some], h2[some]]), axis=1, return_index=True)
+        first = some[first]
         body = [lines.data[s:e].tobytes() for s, e in zip(lines.start[first], lines.end[first], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.array(body, pa.binary())], names=["h1", "h2", "body"])
-    wanted = write(wanted.select("id.h1", "id.h2").distinct(), "wanted")
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    found = _scan(docs, "h1 long, h2 long, body binary", make).join(wanted, ["h1", "h2"], "left_semi")
-    return write(found.dropDuplicates(["h1", "h2"]).select(F.struct("h1", "h2").alias("id"), "body"), "line-texts")
+    found = _scan(docs, "h1 long, h2 long, body binary", make).join(wanted.hint("merge"), ["h1", "h2"], "left_semi")
+    return write(found.groupBy("h1", "h2").agg(F.first("body").alias("body")).select(F.struct("h1", "h2").alias("id"), "body"), "line-texts")
 
 
 def _units(body: bytes, characters: bool) -> bytes | str:
     return body.decode("utf-8", "surrogateescape") if characters else body
 
 
+def _inner(a: bytes | str, b: bytes | str) -> tuple[bytes | str, bytes | str]:
+    """Both without their common beginning and end, found by halving."""
+    for ends in (False, True):
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if (a[len(a) - mid:len(a) - lo] == b[len(b) - mid:len(b) - lo]) if ends else (a[lo:mid] == b[lo:mid]):
+                lo = mid
+            else:
+                hi = mid - 1
+        a, b = (a[:len(a) - lo], b[:len(b) - lo]) if ends else (a[lo:], b[lo:])
+    return a, b
+
+
 def within(a: bytes | str, b: bytes | str, limit: int) -> bool:
     """Whether ``a`` and ``b`` are at most ``limit`` edits apart: bit-parallel, in a band of diagonals."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > limit:
         return False
-    lo, top = 0, len(a)
-    while lo < top and a[lo] == b[lo]:
-        lo += 1
-    a, b = a[lo:], b[lo:]
-    while a and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    a, b = _inner(a, b)
     if not a or limit == 0:
         return len(b) <= limit
     if limit == 1:
@@ -195,6 +207,14 @@ def within(a: bytes | str, b: bytes | str, limit: int) -> bool:
         score += 0 if diagonal >> (width - 1) & 1 else 1
         up = (right_down | ~((diagonal >> 1) | right_up)) & full
         down = (diagonal >> 1) & right_up
+        if j & 15 == 0:
+            # The least value in the band can no longer fall: give up where it is over the limit.
+            value = least = score
+            for t in range(width - 1, 0, -1):
+                value += (down >> (t - 1) & 1) - (up >> (t - 1) & 1)
+                least = min(least, value)
+            if least > limit:
+                return False
     for t in range(width - 1, limit + len(a) - len(b), -1):
         score += (down >> (t - 1) & 1) - (up >> (t - 1) & 1)
     return score <= limit
@@ -237,8 +257,9 @@ def _left_out(line: bytes | str) -> tuple[list[np.ndarray], list[np.uint64]]:
     return without, whole
 
 
-def _hot_links(bodies: DataFrame, characters: bool) -> DataFrame:
-    """Candidate links of crowded lines: equal but for one unit, or equal to another without one."""
+def _hot_links(bodies: DataFrame, characters: bool, edits: int = 1) -> DataFrame:
+    """Candidate links of crowded lines: equal but for one unit, or equal to another without one; for more ``edits`` also
+    equal once each has left out one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for h1, h2, body in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
@@ -254,22 +275,23 @@ def _hot_links(bodies: DataFrame, characters: bool) -> DataFrame:
     rows = bodies.select("id.h1", "id.h2", "body").mapInArrow(run, "size long, place long, p long, q long, h1 long, h2 long, whole boolean")
     rows = rows.withColumn("id", F.struct("h1", "h2")).drop("h1", "h2")
     key = ["size", "place", "p", "q"]
-    # A place of -1 is a line with some byte left out; its centre is the line that it becomes.
-    centre = F.when(F.col("place") >= 0, F.col("id")).when(F.col("whole"), F.col("id"))
+    # A place of -1 is a line with some unit left out; for one edit its centre is the line that it becomes.
+    centre = F.when((F.col("place") >= 0) | F.col("whole") | F.lit(edits > 1), F.col("id"))
     centres = rows.groupBy(*key).agg(F.min(centre).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null")
     return rows.join(centres, key).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def _across(hot: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of crowded lines that share a name and are not connected by single edits: the lines outside of
-    the largest connected class of a name are paired with all others."""
-    roots = components(near)
-    rows = (hot.join(roots.withColumnRenamed("node", "id"), "id", "left")
-            .select("key", "id", "own", F.coalesce("root", "id").alias("root")))
-    rows = write(rows, "crowd-roots")
+def _across(hot: DataFrame, roots: DataFrame, bodies: DataFrame, rule: Rule, bucket: int) -> DataFrame:
+    """Candidate pairs ``a, b`` of crowded lines of different classes ``root``."""
+    rows = write(hot.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "own", F.coalesce("root", "id").alias("root")), "crowd-roots")
     classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     top = classes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("m")).where("m > 1")
     rows = write(rows.join(top.drop("m").hint("merge"), "key"), "crowd-names")
+    if rule.edits == 2:
+        split = rows.select("id", F.col("root.h1").alias("root")).distinct()
+        lines = write(bodies.join(split, "id"), "crowd-lines")
+        characters = rule.characters
+        return families.pairs(lines, lambda body: _units(body, characters), rule.least, bucket)
     left = rows.where("root <> top").select("key", F.col("id").alias("a"), F.col("own").alias("mine"), F.col("root").alias("r"))
     right = rows.select("key", F.col("id").alias("b"), "own", "root")
     return left.join(right, "key").where("r <> root and (mine or own)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -287,22 +309,18 @@ def links(docs: DataFrame, distinct: DataFrame, rule: Rule, bucket: int = 64) ->
     cold = shared.where(F.col("n") <= bucket) if max_edits else shared
     left, right = cold.where("own").select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"), "own")
     pairs = left.join(right, "key").where("a <> b and (a < b or not own)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hot = shared.where(F.col("n") > bucket)
-    crowd = write((hot if max_edits else hot.limit(0)).select("id").distinct(), "crowd")
-    crowded = not crowd.isEmpty()
-    near = None
-    if crowded and max_edits > 1:
-        bodies = _texts(docs, crowd, rule)
-        near = write(_verified(_hot_links(bodies, characters), bodies, 1, characters), "near")
-        pairs = pairs.union(_across(hot.select("key", "id", "own"), near))
-    pairs = write(pairs.distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    one = crowded and max_edits == 1
-    bodies = _texts(docs, wanted.union(crowd) if one else wanted, rule)
-    if one:
-        pairs = pairs.union(_hot_links(bodies.join(crowd, "id", "left_semi"), characters)).distinct()
-    found = _verified(pairs, bodies, max_edits, characters)
-    return found.union(near) if near is not None else found
+    hot = shared.where(F.col("n") > bucket) if max_edits else shared.limit(0)
+    crowd = write(hot.select("id").distinct(), "crowd")
+    bodies = _texts(docs, shared.select("id"), rule)
+    if crowd.isEmpty():
+        return _verified(pairs.distinct(), bodies, max_edits, characters)
+    crowded = write(bodies.join(crowd.hint("merge"), "id", "left_semi"), "crowd-texts")
+    near = _hot_links(crowded, characters, max_edits)
+    if max_edits == 1:
+        return _verified(pairs.union(near).distinct(), bodies, 1, characters)
+    near = write(_verified(near, crowded, max_edits, characters), "near")
+    pairs = pairs.union(_across(hot.select("key", "id", "own"), components(near), crowded, rule, bucket)).distinct()
+    return _verified(pairs, bodies, max_edits, characters).union(near)
 
 
 def removed(docs: DataFrame, max_edits: int = 1, min_bytes: int = MIN_BYTES, bucket: int = 64, characters: bool = False,
