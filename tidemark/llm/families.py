@@ -144,7 +144,7 @@ def pairs(lines: DataFrame, units: Callable[[bytes], bytes | str], least: int, b
         groups = rows.groupBy("p", "q").agg(F.count("*").alias("n"), F.count_if("own").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), centre,
                                             F.max("kind").alias("k"))
         groups = write(groups.where("n > 1 and m > 0 and low < high and (k = 0 or m < n)").select("p", "q", "n", "centre"), "mask-groups")
-        met = write(rows.join(groups, ["p", "q"]), "masked")
+        met = write(rows.join(groups.hint("merge"), ["p", "q"]), "masked")
         star = met.where(F.col("done") & (F.col("root") != F.col("centre.root"))).select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
         few = met.where((~F.col("done")) & (F.col("n") <= bucket))
         left = few.where("own").select("p", "q", F.col("id").alias("a"), F.col("root").alias("r"))
@@ -158,7 +158,7 @@ def pairs(lines: DataFrame, units: Callable[[bytes], bytes | str], least: int, b
             drop(done)
         if masks.isEmpty():
             break
-        members = lines.join(masks, "id")
+        members = lines.join(masks.hint("merge"), "id")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
