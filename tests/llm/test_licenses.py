@@ -51,3 +51,25 @@ def test_spans_are_reported(spark):
     docs = spark.createDataFrame([(1, "see the GNU Genral Public Licence, please")], "doc_id long, text string")
     spans = licenses.scan(docs).first().spans
     assert [(s.label, s.word, s.words, s.edits) for s in spans] == [("gpl", 2, 4, 2)]
+
+
+def test_adjacent_notices_have_a_span_each(spark):
+    rows = [(1, "all rihts reserved all rights reserved x all rights reservd"), (2, "all rights reserved all rights reserved"),
+            (3, "gnu general public license gnu genral public license")]
+    got = {r.doc_id: [(s.label, s.word, s.words, s.edits) for s in r.spans] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("reserved", 0, 3, 1), ("reserved", 3, 3, 0), ("reserved", 7, 3, 1)]
+    assert got[2] == [("reserved", 0, 3, 0), ("reserved", 3, 3, 0)]
+    assert got[3] == [("gpl", 0, 4, 0), ("gpl", 4, 4, 1)]
+
+
+def test_time_follows_the_length():
+    """A text of near misses only: no search may run over more than a notice's length."""
+    import time
+    notices = [licenses.Notice("all rights reserved", "reserved", 1)]
+    took = []
+    for k in (4_000, 32_000):
+        begin = time.process_time()
+        _, found = licenses.scan_text("all rihts reserved " * k, [("all rihts", "x")], notices)
+        took.append(time.process_time() - begin)
+        assert len(found) == k and found[-1][1] == 3 * (k - 1)
+    assert took[1] < 30 * took[0]

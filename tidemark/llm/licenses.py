@@ -2,9 +2,11 @@
 
 A text becomes its lower-cased words with one space between. A notice that stands there with at most ``k``
 character edits leaves at least one of ``k + 1`` pieces of it untouched, so exact searches for the pieces
-find every place worth a look. The stretch of text around a seed that could hold the notice, widened to whole
-words, is then searched by the regex library with at most ``k`` insertions, deletions or substitutions; a match
-begins and ends with a word. Spans are reported in words.
+find every place worth a look. Only the stretch of text around each seed that could hold the notice, widened to
+whole words, is searched by the regex library with at most ``k`` insertions, deletions or substitutions; a match
+begins and ends with a word. Of the matches that overlap, those with fewer edits go first, then the earlier ones; what is
+left does not overlap. A stretch is as long as the notice and some, so time grows with the text alone, whatever repeats in it.
+Spans are reported in words.
 
 The base phrases are the notices that must stand there word for word; their places are counted exactly.
 
@@ -14,6 +16,7 @@ whole; repeated rows are scanned alike; an empty table gives an empty table; oth
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,34 +60,57 @@ class Notice:
         self.seeds = [(a, self.phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         if not all(s for _, s in self.seeds):
             raise ValueError("a notice needs more characters than edits")
-        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(self.phrase)}){{e<={self.edits}}}(?![^ ])")
+        self.patterns = [regex.compile(rf"(?<![^ ])(?:{regex.escape(self.phrase)}){{e<={k}}}(?![^ ])") for k in range(self.edits + 1)]
 
     def windows(self, text: str) -> list[tuple[int, int]]:
-        """Stretches of ``text``, widened to whole words, that hold a seed and room for the notice around it."""
-        found = []
+        """For each seed the stretch of ``text``, widened to whole words, that could hold the notice around it."""
+        found = set()
         for offset, seed in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                found.append((max(0, at - offset - self.edits), at - offset + len(self.phrase) + self.edits))
+                lo = max(0, at - offset - self.edits)
+                found.add((max(0, text.rfind(" ", 0, lo + 1)), at - offset + len(self.phrase) + self.edits))
                 at = text.find(seed, at + 1)
-        out: list[list[int]] = []
+        out: list[tuple[int, int]] = []
         for lo, hi in sorted(found):
-            lo, hi = max(0, text.rfind(" ", 0, lo + 1)), text.find(" ", hi)
-            hi = len(text) if hi < 0 else hi
-            if out and lo <= out[-1][1]:
-                out[-1][1] = max(hi, out[-1][1])
+            # Seeds of one word begin alike: the longest of their stretches holds the others.
+            end = text.find(" ", hi)
+            end = len(text) if end < 0 else end
+            if out and out[-1][0] == lo:
+                out[-1] = (lo, max(end, out[-1][1]))
             else:
-                out.append([lo, hi])
-        return [(a, b) for a, b in out]
+                out.append((lo, end))
+        return out
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """``(start, stop, edits)`` of verified places, in characters."""
-        out = []
+        """``(start, stop, edits)`` of verified places, in characters; they do not overlap."""
+        found = set()
         for lo, hi in self.windows(text):
-            for m in self.pattern.finditer(text[lo:hi]):
-                if m.end() > m.start():
-                    out.append((lo + m.start(), lo + m.end(), sum(m.fuzzy_counts)))
-        return out
+            for edits, pattern in enumerate(self.patterns):
+                near = [(m.start(), m.end()) for m in pattern.finditer(text, lo, hi, overlapped=True) if m.end() > m.start()]
+                if near:
+                    found.update((edits, a, b) for a, b in near)
+                    break
+        taken: list[tuple[int, int]] = []
+        out = []
+        for edits, a, b in sorted(found):
+            i = bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                taken.insert(i, (a, b))
+                out.append((a, b, edits))
+        return sorted(out)
+
+
+class _Count:
+    """How many spaces stand before rising positions of a text, counting on from the last one."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.n = text, 0, 0
+
+    def before(self, position: int) -> int:
+        self.n += self.text.count(" ", self.at, position)
+        self.at = position
+        return self.n
 
 
 def scan_text(text: str, base: list[tuple[str, str]], notices: list[Notice]) -> tuple[list[tuple], list[tuple]]:
@@ -92,12 +118,17 @@ def scan_text(text: str, base: list[tuple[str, str]], notices: list[Notice]) ->
     inside = f" {text} "
     places = []
     for phrase, label in base:
+        count = _Count(inside)
         at = inside.find(f" {phrase} ")
         while at >= 0:
-            places.append((inside.count(" ", 0, at), label))
+            places.append((count.before(at), label))
             at = inside.find(f" {phrase} ", at + 1)
-    found = [(n.label, text.count(" ", 0, a), text.count(" ", a, b) + 1, edits, len(n.phrase))
-             for n in notices for a, b, edits in n.matches(text)]
+    found = []
+    for n in notices:
+        count = _Count(text)
+        for a, b, edits in n.matches(text):
+            word = count.before(a)
+            found.append((n.label, word, count.before(b) - word + 1, edits, len(n.phrase)))
     return places, found
 
 
