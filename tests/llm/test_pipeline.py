@@ -1,8 +1,11 @@
 """The pipeline's stages, each against a plain version on what the stage before it left."""
 
+import hashlib
+from collections import Counter
+
 import corpus_pipeline
 import test_decontam
-import test_lines
+import test_lines_characters
 import test_simhash
 from test_packing import check
 
@@ -12,6 +15,25 @@ from tidemark.llm.tables import write
 SF = "/root/testdata/sf0.001"
 
 
+def quick(a, b, limit=2):
+    """Edit distance up to ``limit``, more beyond it, by rows that stop early; lines that share few characters first."""
+    if sum((Counter(a) - Counter(b)).values()) > limit:
+        return limit + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        lo, hi = max(1, i - limit), min(len(b), i + limit)
+        if lo > 1:
+            last, row[lo - 1] = row[lo - 1], limit + 1
+        for j in range(lo, hi + 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != b[j - 1]))
+        if hi < len(b):
+            row[hi + 1] = limit + 1
+        if min(row[lo - 1:hi + 1]) > limit:
+            return limit + 1
+    return row[-1]
+
+
 def test_stages(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -27,12 +49,13 @@ def test_stages(spark, monkeypatch):
     good = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted}
     assert {r.doc_id for r in after.collect()} == good and after.count() == len(good) > 100
     before, after = seen["line_dedup"]
-    monkeypatch.setattr(test_lines, "distance", lambda a, b: 0 if lines.within(a, b, 0) else 1 if lines.within(a, b, 1) else 2)
-    cut = sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in lines.digest(before).collect()), key=repr)
-    assert cut == test_lines.brute(rows(before), 1, lines.MIN_BYTES)
+    monkeypatch.setattr(test_lines_characters, "distance", quick)
+    settings = {"max_edits": 2, "min_bytes": lines.MIN_CHARACTERS, "characters": True, "exact": 1}
+    cut = sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in lines.digest(before, **settings).collect()), key=repr)
+    assert cut == test_lines_characters.brute(rows(before), 2, lines.MIN_CHARACTERS, 1)
     assert all(r.n_chars == len(r.text) for r in after.collect())
     texts = dict(rows(after))
-    assert sorted((d, test_lines.hashlib.sha256(texts[d].encode()).hexdigest()) for d, *_ in cut) == sorted((c[0], c[3]) for c in cut)
+    assert sorted((d, hashlib.sha256(texts[d].encode()).hexdigest()) for d, *_ in cut) == sorted((c[0], c[3]) for c in cut)
     before, after = seen["near_dedup"]
     heads = {d for d, _, c in test_simhash.brute(rows(before)) if d == c}
     assert sorted(d for d, _ in rows(after)) == sorted(heads)

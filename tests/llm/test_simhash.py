@@ -98,5 +98,16 @@ def test_keep_first_and_empty(spark, rows):
     heads = {c for d, _, c in brute(rows) if d is not None and c == d}
     got = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in got if x is not None) == sorted(heads) and kept.columns == docs.columns
-    assert got.count(None) == 2
+    assert got.count(None) == 1  # the empty text without an id goes with that of 700
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    one, two = "a text of its own with some words", "quite another text that says something else"
+    rows = [(1, one, 0), (5, one, 1), (5, two, 2), (7, two, 3), (5, two, 4), (None, "third text with no id at all", 5), (None, one, 6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, head int")
+    got = simhash.keep_first(docs)
+    assert got.schema == docs.schema
+    kept = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert kept == sorted([(1, one), (5, two), (0, "third text with no id at all")])
+    assert all(rows[r["head"]] == tuple(r) for r in got.collect())

@@ -29,7 +29,7 @@ from tidemark.llm import kernels as K
 from tidemark.llm.components import components
 from tidemark.llm.tables import two, write
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -58,14 +58,19 @@ def fingerprint_block(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
+def _named(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_key, fp`` (the 64 bits as a signed long) of every whole text; the key is a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            parts = [fingerprint_block(texts, shingle) for _, _, texts in K.blocks(rows.column(1))]
+            parts = [fingerprint_block(texts, shingle) for _, _, texts in K.blocks(rows.column(2))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield K.batch(_OUT, rows.column(0), fp.view(np.int64))
-    return two(docs).mapInArrow(run, "doc_id long, fp long")
+            yield K.batch(_OUT, rows.column(0), rows.column(1), fp.view(np.int64))
+    return two(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, fp long")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a signed long) of every whole text."""
+    return _named(docs, shingle).select("doc_id", "fp")
 
 
 def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -112,27 +117,35 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
                       .select(F.col("fp").alias("a"), "b")).distinct()
 
 
+def _classes(fps: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+    """``fp, root, component_id`` of ``fp, least``: each distinct fingerprint's class and the smallest id there."""
+    least = write(fps, "distinct")
+    roots = components(links(least.select("fp"), max_bits, bucket))
+    placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return write(placed.join(first, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket: int = 64) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id reachable over links, one row per row."""
     prints = write(fingerprints(docs, shingle), "fingerprints")
-    least = write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least.select("fp"), max_bits, bucket))
-    placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    where = write(placed.join(first, "root").select("fp", "component_id"), "classes")
+    where = _classes(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, bucket)
     return prints.join(where, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with one row of each component: that of its smallest id.
+def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2, bucket: int = 64) -> DataFrame:
+    """The documents with one row of each component: that of its smallest id, ids before none.
 
-    Of repeated rows with that id one stays. Rows without an id cannot be named, so they stay.
+    A row is told by its id and its text, so rows that share an id are judged each on its own; of rows that share both one stays.
     """
-    found = write(near_duplicates(docs, **settings), "found")
-    leave = write(found.where("doc_id <> component_id").select("doc_id").distinct(), "leave")
-    again = write(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-                  .select("doc_id"), "again")
-    kept = docs.join(leave, "doc_id", "left_anti")
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(first).select(*docs.columns)
+    prints = write(_named(docs, shingle), "fingerprints")
+    where = _classes(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits, bucket)
+    # One row for each text and id, so that a hot one is counted before the join.
+    rows = write(prints.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("copies")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "copies")
+    heads = rows.join(where.hint("merge"), "fp").groupBy("root").agg(F.min(order).alias("head"))
+    heads = write(heads.select("head.doc_id", "head.text_key", "head.copies"), "heads")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("h.text_key"))
+    met = docs.alias("d").join(heads.alias("h"), same).select(F.struct("d.*").alias("row"), F.col("h.doc_id").alias("id"), F.col("h.text_key").alias("key"), "h.copies")
+    again = met.where("copies > 1").dropDuplicates(["id", "key"])
+    return met.where("copies = 1").unionByName(again).select("row.*")
