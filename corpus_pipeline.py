@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that an earlier document, or the same one, has up to one edit."""
-    out = lines.deduplicate(docs, max_edits=1, min_bytes=lines.MIN_BYTES)
+    """Cuts lines that an earlier document, or the same one, has up to two edits of characters; short lines by equality."""
+    out = lines.deduplicate(docs, max_edits=2, min_bytes=lines.MIN_CHARACTERS, characters=True, exact=1)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
