@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import ID, LABELS, SCORES, SEED
 from tidemark.functions.probability import clip
-
-# Boosting rounds are few and steps large: Spark grows trees level by level over the cluster.
-LOSS_HEAD = {"maxIter": 20, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20,
-             "featureSubsetStrategy": "0.8", "subsamplingRate": 0.8}
-RANK_HEAD = {"maxIter": 20, "stepSize": 0.15, "maxDepth": 6, "minInstancesPerNode": 10,
-             "featureSubsetStrategy": "0.9", "subsamplingRate": 0.9}
-PROBE_HEAD = {"maxIter": 5, "stepSize": 0.3, "maxDepth": 4, "minInstancesPerNode": 20}
+from tidemark.operators import boosting
+from tidemark.operators.boosting import Booster
+
+# Published rates, node sizes and sampling shares of the two heads, and of the probes.
+LOSS_HEAD = {"rate": 0.03, "depth": 5, "least": 30, "columns": 0.8, "rows": 0.8, "ridge": 1.0}
+RANK_HEAD = {"rate": 0.03, "depth": 6, "least": 20, "columns": 0.9, "rows": 0.9, "ridge": 0.5, "by_auc": True}
+VIEW_HEAD = {"rate": 0.05, "depth": 5, "least": 20, "rounds": 500}
+PROBE_HEAD = {"rate": 0.05, "depth": 5, "least": 20, "rounds": 700}
 FIT_THREADS = 8
 
 
@@ -45,21 +46,11 @@ class Learner:
     name: str
     make: Callable[[str], Estimator]
     weight: str | None = None
-    early_stop: bool = False
-    options: dict = field(default_factory=dict)
 
 
-def boosted(name: str = "gbt", weight: str | None = None, early_stop: bool = False,
-            **options) -> Learner:
-    settings = {**LOSS_HEAD, **options}
-
-    def make(label: str) -> Estimator:
-        est = GBTClassifier(labelCol=label, featuresCol="features", seed=SEED, maxBins=64,
-                            **settings)
-        if early_stop:
-            est = est.setValidationIndicatorCol("is_val")
-        return est.setWeightCol(weight) if weight else est
-    return Learner(name, make, weight, early_stop, settings)
+def boosted(name: str = "gbt", weight: str | None = None, **options) -> Booster:
+    """Boosted trees of a loss head with other options."""
+    return Booster(name, weight, **{**LOSS_HEAD, **options})
 
 
 def forest(name: str = "forest", trees: int = 50, depth: int = 10) -> Learner:
@@ -95,8 +86,7 @@ def score_with(model: Model, rows: DataFrame, out: str) -> DataFrame:
 def fit_targets(rows: DataFrame, features: list[str], learner: Learner,
                 labels: dict[str, str]) -> list[Callable[[], Model]]:
     """One fitting task per label."""
-    kept = [*labels.values(), *([learner.weight] if learner.weight else []),
-            *(["is_val"] if learner.early_stop else [])]
+    kept = [*labels.values(), *([learner.weight] if learner.weight else [])]
     ready = vectors(rows, features).select("features", *kept)
     return [lambda y=y: learner.make(y).fit(ready) for y in labels.values()]
 
@@ -115,15 +105,26 @@ class FoldFrame:
     def val(self) -> DataFrame:
         return self.rows.where(F.col("role") == "val")
 
-    def with_flag(self) -> DataFrame:
-        return self.rows.withColumn("is_val", F.col("role") == "val")
-
     def change(self, edit: Callable[[DataFrame], DataFrame],
                features: list[str] | None = None) -> "FoldFrame":
         return FoldFrame(self.number, edit(self.rows), features or self.features)
 
 
-def out_of_fold(frames: list[FoldFrame], learner: Learner | Callable[[FoldFrame], Learner],
+def boosting_rows(frames: list[FoldFrame], booster: Booster, labels: dict[str, str] = LABELS, keep: list[str] | None = None) -> DataFrame:
+    """The rows of all folds in the form that boosting takes, written once."""
+    kept = list(dict.fromkeys([ID, *LABELS.values(), *(keep or [])]))
+    return boosting.table([(f.number, f.rows) for f in frames], {f.number: f.features for f in frames}, list(labels.values()), kept, booster.weight)
+
+
+def boosted_scores(rows: DataFrame, fitted: boosting.Fitted, labels: dict[str, str] = LABELS, scores: dict[str, str] = SCORES,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Row id, fold, scores, labels and ``keep`` of the validation rows."""
+    kept = list(dict.fromkeys([ID, *LABELS.values(), *(keep or [])]))
+    out = boosting.score(rows.where("role = 'val'"), fitted, {y: scores[h] for h, y in labels.items()}, kept)
+    return out.select(ID, "fold", *[scores[h] for h in labels], *kept[1:])
+
+
+def out_of_fold(frames: list[FoldFrame], learner: Booster | Learner | Callable[[FoldFrame], Learner],
                 labels: dict[str, str] = LABELS, scores: dict[str, str] = SCORES,
                 keep: list[str] | None = None) -> DataFrame:
     """Fit per fold and label, score the fold's validation rows.
@@ -131,14 +132,17 @@ def out_of_fold(frames: list[FoldFrame], learner: Learner | Callable[[FoldFrame]
     Returns row id, fold, scores, labels and ``keep``; rows outside all validation windows are
     absent. The three label models of a fold score the same rows in turn, so nothing is joined.
     """
+    if isinstance(learner, Booster):
+        rows = boosting_rows(frames, learner, labels, keep)
+        return boosted_scores(rows, boosting.fit(rows, list(labels.values()), learner), labels, scores, keep)
+
     def learner_of(frame: FoldFrame) -> Learner:
         return learner if isinstance(learner, Learner) else learner(frame)
 
     tasks = []
     for frame in frames:
         one = learner_of(frame)
-        rows = frame.with_flag() if one.early_stop else frame.train()
-        tasks += fit_targets(rows, frame.features, one, labels)
+        tasks += fit_targets(frame.train(), frame.features, one, labels)
     models = in_parallel(tasks)
     out = None
     for i, frame in enumerate(frames):

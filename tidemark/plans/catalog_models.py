@@ -34,10 +34,33 @@ def gbt_oof(spark, sf_dir):
 
 
 @query
-def dual_head_oof(spark, sf_dir):
+def boosting_stages(spark, sf_dir):
+    """Per fold and label of the boosted run: rounds grown until patience ran out, the kept stage and its validation loss."""
+    return oof.fold_models(spark, sf_dir).groupBy("fold", "label").agg(
+        F.max("grown").alias("rounds"), F.max("stage").alias("stage"), F.max("loss").alias("log_loss"))
+
+
+@query
+def fold_averaged_scores(spark, sf_dir):
+    """Test rows under the stored trees of every fold, averaged."""
+    return oof.fold_averaged(spark, sf_dir)
+
+
+def _dual(spark, sf_dir):
     return oof.saved(spark, sf_dir, "dual_head", lambda: oof.dual_head(spark, sf_dir))
 
 
+@query
+def dual_head_oof(spark, sf_dir):
+    return _dual(spark, sf_dir)
+
+
+@query
+def dual_head_metrics(spark, sf_dir):
+    """Log-loss of the loss head and AUC of the ranking head, judged together by horizon."""
+    return oof.dual_metrics(_dual(spark, sf_dir))
+
+
 @query
 def source_weighted_oof(spark, sf_dir):
     return oof.saved(spark, sf_dir, "source_weighted", lambda: oof.source_weighted(spark, sf_dir))
@@ -183,7 +206,7 @@ def category_ablation(spark, sf_dir):
 
 @query
 def param_search(spark, sf_dir):
-    return search.param_search(spark, sf_dir, trials=3)
+    return search.param_search(spark, sf_dir, trials=30)
 
 
 # ---------------------------------------------------------------- invariants of the runs

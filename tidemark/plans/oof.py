@@ -15,7 +15,7 @@ from tidemark.config import (CATEGORICAL, COLD, DAY, GATING_KEYS, HISTORY_WEIGHT
                              FeatureGroups)
 from tidemark.functions import fields
 from tidemark.functions.probability import clip, cumulative, intervals, ordered
-from tidemark.operators import (blending, calibration, encoding, factor, graph, metrics, models,
+from tidemark.operators import (blending, boosting, calibration, encoding, factor, graph, metrics, models,
                                 profiles, text, weights)
 from tidemark.operators.folds import Fold, in_training, in_validation
 from tidemark.operators.interactions import linear_interactions
@@ -82,15 +82,40 @@ def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 # ---------------------------------------------------------------- boosted trees
 
 def gbt(spark, sf_dir, **options) -> DataFrame:
-    return models.out_of_fold(fold_frames(spark, sf_dir),
-                              models.boosted(early_stop=True, **options))
+    """Trees on the minimal matrix; without options, those of the stored fold models."""
+    if options:
+        return models.out_of_fold(fold_frames(spark, sf_dir), models.boosted(**options))
+    rows = models.boosting_rows(fold_frames(spark, sf_dir), models.boosted())
+    return models.boosted_scores(rows, boosting.load(fold_models(spark, sf_dir)))
+
+
+def fold_models(spark, sf_dir) -> DataFrame:
+    """The kept trees of the boosted run, one row per fold, label and stage, fitted and written once per application."""
+    def build() -> DataFrame:
+        booster = models.boosted()
+        rows = models.boosting_rows(fold_frames(spark, sf_dir), booster)
+        return boosting.stored(spark, boosting.fit(rows, list(LABELS.values()), booster))
+    return saved(spark, sf_dir, "fold-models", build)
+
+
+def fold_averaged(spark, sf_dir) -> DataFrame:
+    """Test rows scored by the stored trees of every fold, with that fold's lookup tables, and averaged."""
+    log = TrainingLog(spark, sf_dir)
+    rows = None
+    for fold, frame in zip(log_folds(log), fold_frames(spark, sf_dir)):
+        seen = in_training(fold, F.col(DAY))
+        x = matrix.transform(log.test, matrix.fit(log.prior.where(seen), log.train.where(seen), MINIMAL), MINIMAL)
+        part = x.select(ID, F.lit(fold.number).alias("fold"), boosting.vector(frame.features).alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    scored = boosting.score(rows, boosting.load(fold_models(spark, sf_dir)), dict(zip(LABELS.values(), SCORES.values())), [ID])
+    return blending.mean_scores(scored, [ID])
 
 
 def dual_head(spark, sf_dir) -> DataFrame:
     """Loss head in p07.., ranking head (more capacity) in a07..; same rows, one output."""
     frames = fold_frames(spark, sf_dir)
     loss = saved(spark, sf_dir, "gbt", lambda: gbt(spark, sf_dir))
-    rank = models.out_of_fold(frames, models.boosted("rank", early_stop=True, **models.RANK_HEAD))
+    rank = models.out_of_fold(frames, models.boosted("rank", **models.RANK_HEAD))
     rank = rank.select(ID, *[F.col(p).alias(p.replace("p", "a")) for p in SCORES.values()])
     return loss.join(rank, ID)
 
@@ -130,7 +155,7 @@ def hazard(spark, sf_dir) -> DataFrame:
         made = intervals(*[F.col(y) for y in LABELS.values()])
         return rows.withColumns({n: c.cast("double") for n, c in zip(z.values(), made)})
     frames = [f.change(label) for f in fold_frames(spark, sf_dir)]
-    raw = models.out_of_fold(frames, models.boosted("hazard", early_stop=True), z,
+    raw = models.out_of_fold(frames, models.boosted("hazard"), z,
                              dict(zip(LABELS, ("h1", "h2", "h3"))))
     total = cumulative(F.col("h1"), F.col("h2"), F.col("h3"))
     return raw.select(ID, "fold", *[clip(c).alias(p) for c, p in zip(total, SCORES.values())],
@@ -213,8 +238,7 @@ def stacking(spark, sf_dir) -> DataFrame:
     scaled = scaled_frames(frames)
     base = {
         "gbt": lambda: saved(spark, sf_dir, "gbt", lambda: gbt(spark, sf_dir)),
-        "wide": lambda: models.out_of_fold(frames, models.boosted("wide", maxDepth=3,
-                                                                  stepSize=0.2)),
+        "wide": lambda: models.out_of_fold(frames, models.boosted("wide", depth=3, rate=0.05)),
         "forest": lambda: models.out_of_fold(frames, models.forest(trees=30)),
         "logistic": lambda: models.out_of_fold(scaled, lambda f: models.linear(
             rows=f.train().count(), standardised=True)),
@@ -263,7 +287,7 @@ def gate_frames(spark, sf_dir) -> list[FoldFrame]:
 
 def warm_cold(spark, sf_dir, **options) -> DataFrame:
     """Warm and cold experts mixed by the gate's probability of a known person; with cohort."""
-    settings = {"maxIter": 10, **options}
+    settings = {**options}
     gates = gate_frames(spark, sf_dir)
     experts = [models.out_of_fold(fold_frames(spark, sf_dir, GROUP_SETS[name]),
                                   models.boosted(name, **settings)) for name in ("warm", "cold")]
@@ -347,7 +371,7 @@ def text_view(spark, sf_dir, k: int = TEXT_WIDTH) -> DataFrame:
         return _embedded(FoldFrame(fold.number, rows, []), out, [f"text_{i}" for i in range(k)])
 
     frames = models.in_parallel([lambda f=f: build(f) for f in log_folds(log)])
-    return models.out_of_fold(frames, models.boosted("text", maxIter=10))
+    return models.out_of_fold(frames, models.boosted("text", **models.VIEW_HEAD))
 
 
 def _graph_frame(log: TrainingLog, fold: Fold, embed: Callable[[DataFrame], DataFrame], k: int,
@@ -372,7 +396,7 @@ def graph_view(spark, sf_dir, k: int = TEXT_WIDTH) -> DataFrame:
     frames = models.in_parallel([
         lambda f=f: _graph_frame(log, f, lambda r: graph.ppmi_embedding(r, k), k, True)
         for f in log_folds(log)])
-    return models.out_of_fold(frames, models.boosted("graph", maxIter=10))
+    return models.out_of_fold(frames, models.boosted("graph", **models.VIEW_HEAD))
 
 
 def walk_view(spark, sf_dir, k: int = TEXT_WIDTH, per_node: int = 10, length: int = 20) -> DataFrame:
@@ -381,7 +405,7 @@ def walk_view(spark, sf_dir, k: int = TEXT_WIDTH, per_node: int = 10, length: in
     frames = models.in_parallel([
         lambda f=f: _graph_frame(log, f, lambda r: graph.walk_embedding(r, k, per_node, length), k,
                                  False) for f in log_folds(log)])
-    return models.out_of_fold(frames, models.boosted("walk", maxIter=10))
+    return models.out_of_fold(frames, models.boosted("walk", **models.VIEW_HEAD))
 
 
 # ---------------------------------------------------------------- calibration of a score set
@@ -406,17 +430,18 @@ def calibrated(oof: DataFrame, methods: list[str] = calibration.METHODS) -> Data
     return out
 
 
-def test_scores(spark, sf_dir, learner: Learner) -> DataFrame:
-    """Fit on all training rows and score the unlabelled rows."""
+def test_scores(spark, sf_dir) -> DataFrame:
+    """Trees on all training rows, with the mean number of rounds that the folds kept, score the unlabelled rows."""
     log = TrainingLog(spark, sf_dir)
     fitted = matrix.fit(log.prior, log.train, MINIMAL)
-    train = workspace.materialise(matrix.transform(log.train, fitted, MINIMAL), "full")
-    names = matrix.feature_names(train)
-    made = models.in_parallel(models.fit_targets(train, names, learner, LABELS))
-    rows = models.vectors(matrix.transform(log.test, fitted, MINIMAL), names)
-    for model, p in zip(made, SCORES.values()):
-        rows = models.score_with(model, rows, p)
-    return rows.select(ID, *SCORES.values())
+    train = workspace.materialise(matrix.transform(log.train, fitted, MINIMAL).withColumn("role", F.lit("train")), "full")
+    names = matrix.feature_names(train.drop("role"))
+    kept = fold_models(spark, sf_dir).groupBy("label", "fold").agg(F.max("stage").alias("n")).groupBy("label").agg(F.avg("n").alias("n")).collect()
+    booster = models.boosted()
+    rows = boosting.table([(0, train)], {0: names}, list(LABELS.values()), [], None)
+    made = boosting.fit(rows, list(LABELS.values()), booster, validate=False, rounds={(0, r["label"]): max(1, round(r["n"])) for r in kept})
+    test = matrix.transform(log.test, fitted, MINIMAL).select(ID, F.lit(0).alias("fold"), boosting.vector(names).alias("x"))
+    return boosting.score(test, made, dict(zip(LABELS.values(), SCORES.values())), [ID]).drop("fold")
 
 
 def full_run(spark, sf_dir) -> DataFrame:
@@ -424,7 +449,7 @@ def full_run(spark, sf_dir) -> DataFrame:
     oof = saved(spark, sf_dir, "gbt", lambda: gbt(spark, sf_dir))
     hist = metrics.score_histogram(metrics.long_scores(oof, []), ["horizon"])
     hist = workspace.materialise(hist, "hist")
-    rows = test_scores(spark, sf_dir, models.boosted())
+    rows = test_scores(spark, sf_dir)
     for h, p in SCORES.items():
         rows = calibration.fit("isotonic", hist.where(F.col("horizon") == h))(rows, p, f"_{p}")
     fixed = ordered(*[F.col(f"_{p}") for p in SCORES.values()])
