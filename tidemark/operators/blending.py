@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import ID, LABELS, SCORES
+from tidemark.config import AUC_WEIGHT, CLIP_HIGH, CLIP_LOW, ID, LABELS, LL_SCALE, LL_WEIGHT, SCORES
 from tidemark.functions.probability import clip, log_loss_term, ordered
 from tidemark.operators.metrics import fold_stats, metrics, regroup, weighted_score
+from tidemark.sources.workspace import materialise
 
 
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -37,8 +41,11 @@ def weighted_blend(oof: DataFrame, weights: dict[str, float], keep: list[str],
 
 
 def stacked_mean(left: DataFrame, right: DataFrame, row_id: str = ID) -> DataFrame:
-    """Equal-weight mean of two systems on their common rows, clipped and ordered."""
+    """Equal-weight mean of two systems, clipped and ordered; systems that score different rows are refused."""
     other = right.select(row_id, *[F.col(p).alias(f"_{p}") for p in SCORES.values()])
+    for one, two in ((left, right), (right, left)):
+        if not one.select(row_id).join(two.select(row_id), row_id, "left_anti").isEmpty():
+            raise ValueError("both systems must score the same rows")
     both = left.join(other, row_id)
     mean = [clip((F.col(p) + F.col(f"_{p}")) / 2) for p in SCORES.values()]
     return both.select(row_id, *[c.alias(p) for c, p in zip(ordered(*mean), SCORES.values())])
@@ -120,6 +127,123 @@ def search_blend(oof: DataFrame, models: list[str], steps: int = 10, fine: int =
     return best_blend(blend_scores(oof, models, near), baseline_worst, spread_penalty)
 
 
+# ---------------------------------------------------------------- search without copies of rows
+
+#: Bins of a score's log-odds for the AUC of a candidate: 1/64 apart between odds of exp(-8) and exp(8).
+_BINS, _REACH = 1024, 8.0
+
+
+def sides(oof: DataFrame, systems: list[str]) -> DataFrame:
+    """``fold, y, x``: the labels of each row and all systems' scores (horizon by horizon), written once.
+
+    Every system must score every row once; anything else is refused.
+    """
+    counts = oof.where(F.col("model").isin(systems)).groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("model").alias("m"))
+    if not counts.where((F.col("n") != len(systems)) | (F.col("m") != len(systems))).isEmpty():
+        raise ValueError("all systems must score the same rows, each once")
+    wide = side_by_side(oof.where(F.col("model").isin(systems)), systems)
+    x = F.array(*[F.col(f"{p}_{i}").cast("double") for p in SCORES.values() for i in range(len(systems))])
+    return materialise(wide.select(F.col("fold").cast("int").alias("fold"), F.array(*[F.col(y).cast("double") for y in LABELS.values()]).alias("y"), x.alias("x")), "sides")
+
+
+def _packed(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def judged(table: DataFrame, candidates: np.ndarray, folds: list[int]) -> list[dict[str, float]]:
+    """Score, fold spread and worst fold of every candidate (weights of the systems), in one pass over the rows.
+
+    A task mixes its rows with all candidates at once and keeps, per candidate, fold and horizon, the summed loss and
+    a histogram of log-odds; these are added up in two steps. The AUC counts rows of one bin as ties.
+    """
+    count, horizons, places = len(candidates), len(LABELS), {f: i for i, f in enumerate(folds)}
+    width = len(folds) * horizons
+    shape = (width, 2 * _BINS + 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((count, *shape))
+        for batch in batches:
+            fold = np.array([places[f] for f in batch.column("fold").to_pylist()], np.int64)
+            y, x = _packed(batch.column("y")), _packed(batch.column("x")).reshape(batch.num_rows, horizons, -1)
+            cell = fold[:, None] * horizons + np.arange(horizons)
+            for c, w in enumerate(candidates):
+                p = np.clip(x @ w, CLIP_LOW, CLIP_HIGH)
+                odds = np.log(p / (1 - p))
+                at = cell * _BINS + np.clip((odds + _REACH) * (_BINS / (2 * _REACH)), 0, _BINS - 1).astype(np.int64)
+                n = np.bincount(at.ravel(), minlength=width * _BINS).reshape(width, _BINS)
+                pos = np.bincount(at.ravel(), weights=y.ravel(), minlength=width * _BINS).reshape(width, _BINS)
+                loss = -(y * np.log(p) + (1 - y) * np.log(1 - p))
+                total[c, :, :_BINS] += n
+                total[c, :, _BINS:-1] += pos
+                total[c, :, -1] += np.bincount(cell.ravel(), weights=loss.ravel(), minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array([t.tobytes() for t in total], pa.binary())], names=["c", "t"])
+
+    def add(group: pa.Table) -> pa.Table:
+        out = np.zeros(width * shape[1])
+        for t in group.column("t").to_pylist():
+            out += np.frombuffer(t)
+        return pa.table({"c": group.column("c").slice(0, 1), "t": pa.array([out.tobytes()], pa.binary())})
+    parts = table.mapInArrow(sums, "c long, t binary").withColumn("salt", F.spark_partition_id() % 32)
+    # Partial sums have one size, whatever they sum; the salt bounds how many meet in a task.
+    parts = parts.groupBy("c", "salt").applyInArrow(add, "c long, t binary").groupBy("c").applyInArrow(add, "c long, t binary")
+    out: list[dict[str, float]] = [{}] * count
+    for r in parts.collect():
+        t = np.frombuffer(r["t"]).reshape(len(folds), horizons, shape[1])
+        per = [_share(part) for part in t]
+        out[r["c"]] = {"score": _share(t.sum(0)), "fold_std": float(np.std(per)), "worst_fold": float(min(per))}
+    return out
+
+
+def _share(parts: np.ndarray) -> float:
+    """Weighted score from the histogram and loss of each horizon."""
+    total = 0.0
+    for h, part in zip(LABELS, parts):
+        n, pos = part[:_BINS], part[_BINS:-1]
+        neg = n - pos
+        both = pos.sum() * neg.sum()
+        auc = float((pos * (np.cumsum(neg) - neg / 2)).sum() / both) if both else 0.5
+        total += AUC_WEIGHT[h] * auc + LL_WEIGHT[h] * (1 - float(part[-1]) / max(n.sum(), 1) / LL_SCALE)
+    return total
+
+
+def _rank(found: dict[str, float], floor: float | None, penalty: float) -> tuple[bool, float]:
+    return floor is None or found["worst_fold"] >= floor, found["score"] - penalty * found["fold_std"]
+
+
+def descend(table: DataFrame, systems: list[str], floor: float | None = None, penalty: float = 0.0, first: float = 0.25, last: float = 0.004) -> dict:
+    """Weights on the simplex with the best score less ``penalty`` times the fold spread, the worst fold not below ``floor``.
+
+    From the best of the even mix, the single systems and their pairs, each step tries to move some weight from every system to every other,
+    all in one pass, and goes to the best; when none is better, the step halves, down to ``last``. Feasible points
+    come before others. Returns weights, their figures and the number of passes.
+    """
+    m = len(systems)
+    folds = sorted(r["fold"] for r in table.select("fold").distinct().collect())
+    starts = [np.full(m, 1 / m), *np.eye(m), *[(a + b) / 2 for i, a in enumerate(np.eye(m)) for b in np.eye(m)[:i]]]
+    tried = judged(table, np.array(starts), folds)
+    at = max(range(len(starts)), key=lambda i: _rank(tried[i], floor, penalty))
+    best, now, step, passes = starts[at], tried[at], first, 1
+    while step >= last and m > 1:
+        moves = []
+        for i in range(m):
+            give = min(step, best[i])
+            if give > 0:
+                for j in range(m):
+                    if j != i:
+                        w = best.copy()
+                        w[i], w[j] = w[i] - give, w[j] + give
+                        moves.append(w)
+        tried = judged(table, np.array(moves), folds)
+        passes += 1
+        at = max(range(len(moves)), key=lambda i: _rank(tried[i], floor, penalty))
+        here, there = _rank(now, floor, penalty), _rank(tried[at], floor, penalty)
+        if (there[0], there[1] - 1e-9) > here:
+            best, now = moves[at], tried[at]
+        else:
+            step /= 2
+    return {"weights": dict(zip(systems, best.tolist())), **now, "feasible": _rank(now, floor, penalty)[0], "passes": passes}
+
+
 def calibrator_blend(long: DataFrame, calibrators: list[str], steps: int = 10) -> DataFrame:
     """Weights over calibrators with the least 7-day log-loss after ordering the horizons.
 

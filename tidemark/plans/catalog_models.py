@@ -6,6 +6,7 @@ beside SQL that derives them from the tables, so that coverage, folds, labels, r
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.config import CLIP_HIGH, CLIP_LOW, ID, LABELS, SCORES
@@ -152,21 +153,35 @@ def calibrator_search(spark, sf_dir):
 
 @query
 def calibrator_blend(spark, sf_dir):
-    return blending.calibrator_blend(_calibrated(spark, sf_dir), calibration.METHODS, steps=5)
+    return blending.calibrator_blend(_calibrated(spark, sf_dir), calibration.METHODS, steps=10)
+
+
+def _systems(spark, sf_dir):
+    """Six out-of-fold systems under one roof: plain, calibrated, ranking, hazard, history-weighted and drift-weighted trees."""
+    rank = _dual(spark, sf_dir).drop(*SCORES.values()).withColumnsRenamed({p.replace("p", "a"): p for p in SCORES.values()})
+    parts = {"gbt": _gbt(spark, sf_dir), "isotonic": _calibrated(spark, sf_dir).where(F.col("model") == "isotonic"), "rank": rank,
+             "hazard": oof.saved(spark, sf_dir, "hazard", lambda: oof.hazard(spark, sf_dir)),
+             "source": source_weighted_oof(spark, sf_dir), "drift": drift_weighted_oof(spark, sf_dir)}
+    long = None
+    for name, rows in parts.items():
+        part = rows.select(F.lit(name).alias("model"), ID, "fold", *SCORES.values(), *LABELS.values())
+        long = part if long is None else long.unionByName(part)
+    return list(parts), long
+
+
+def _described(spark, found):
+    return spark.createDataFrame([(*found["weights"].values(), found["score"], found["fold_std"], found["worst_fold"], int(found["feasible"]), found["passes"])],
+                                 ", ".join(f"w_{m} double" for m in found["weights"]) + ", score double, fold_std double, worst_fold double, feasible int, passes int")
 
 
 @query
 def model_blend(spark, sf_dir):
-    """Out-of-fold systems blended on a coarse grid refined around its best point."""
-    gbt = _gbt(spark, sf_dir)
-    iso = _calibrated(spark, sf_dir).where(F.col("model") == "isotonic")
-    hazard = oof.saved(spark, sf_dir, "hazard", lambda: oof.hazard(spark, sf_dir))
-    names = [ID, "fold", *SCORES.values(), *LABELS.values()]
-    long = (gbt.select(F.lit("gbt").alias("model"), *names)
-            .unionByName(iso.select("model", *names))
-            .unionByName(hazard.select(F.lit("hazard").alias("model"), *names)))
-    return blending.search_blend(workspace.materialise(long, "systems"),
-                                 ["gbt", "isotonic", "hazard"], steps=4, fine=4)
+    """Six systems blended by descent on the simplex, the worst fold not below the plain trees'; coverage must be equal."""
+    names, long = _systems(spark, sf_dir)
+    table = blending.sides(workspace.materialise(long, "systems"), names)
+    folds = sorted(r["fold"] for r in table.select("fold").distinct().collect())
+    plain = blending.judged(table, np.eye(len(names))[:1], folds)[0]
+    return _described(spark, blending.descend(table, names, floor=plain["worst_fold"] - 1e-9))
 
 
 @query
@@ -181,8 +196,8 @@ def multi_view_blend(spark, sf_dir):
         part = rows.select(F.lit(view).alias("model"), *names)
         long = part if long is None else long.unionByName(part)
     long = workspace.materialise(long, "views")
-    best = blending.search_blend(long, list(views), steps=4, fine=4, spread_penalty=0.5).first()
-    mixed = blending.weighted_blend(long, {v: best[f"w_{v}"] for v in views},
+    best = blending.descend(blending.sides(long, list(views)), list(views), penalty=0.5)
+    mixed = blending.weighted_blend(long, best["weights"],
                                     [ID, "fold", *LABELS.values()])
     fixed = [clip(p) for p in ordered(*[clip(F.col(p)) for p in SCORES.values()])]
     return mixed.select(ID, "fold", *[c.alias(p) for c, p in zip(fixed, SCORES.values())],
