@@ -75,6 +75,42 @@ def test_wide_matrix_subset_equals_direct_build(spark, sf_dir):
             matrix.feature_names(own))
 
 
+def test_search_records_stopped_trials(spark, sf_dir):
+    rows = search.param_search(spark, sf_dir, 6, {"7d": "07"}, block=20).collect()
+    assert len(rows) == 6 and {r.study for r in rows} == {"7d"}
+    assert all(r.rounds >= 20 and r.objective in (0.0, r.score) for r in rows)
+    # After a block at least every second trial that is still going has stopped.
+    assert sum(r.rounds <= 20 for r in rows) >= 3 and all(r.stopped == (r.rounds < eval(r.params)["rounds"]) for r in rows)
+
+
+def test_refits_show_a_changed_seed(spark, sf_dir):
+    found = {r.model: r for r in search.refits(spark, sf_dir, {"same": [1, 1], "other": [1, 2]}, rounds=20).collect()}
+    assert found["same"].spread == 0 and found["same"].reproducible == 1
+    assert found["other"].spread > 0 and found["other"].reproducible == 0
+
+
+def test_stages_and_fold_averaged_scores(spark, sf_dir):
+    stages = oof.fold_models(spark, sf_dir).groupBy("fold", "label").agg(F.max("grown").alias("n"), F.max("stage").alias("best")).collect()
+    assert len(stages) == 3 * len(oof.fold_frames(spark, sf_dir))
+    assert all(r.n == 1000 or r.n - r.best >= 50 for r in stages)
+    scores = oof.fold_averaged(spark, sf_dir).toPandas()
+    assert len(scores) == TrainingLog(spark, sf_dir).test.count() == scores[ID].nunique()
+    assert all(scores[p].between(.001, .999).all() for p in SCORES.values())
+
+
+def test_one_hot_takes_missing_and_unseen_values(spark, sf_dir, monkeypatch):
+    log = TrainingLog(spark, sf_dir)
+    days = sorted(r[0] for r in log.train.select("training_day").distinct().collect() if r[0])
+    cutoff = str(days[len(days) // 2])
+    late = F.col("training_day") >= F.lit(cutoff).cast("date")
+    odd = log.train.withColumn("ward", F.when(late, F.concat(F.lit("new "), "ward")).otherwise(F.col("ward")))
+    odd = odd.withColumn("county", F.when(F.col(ID) % 3 == 0, F.lit(None)).otherwise(F.col("county")))
+    monkeypatch.setattr(TrainingLog, "train", property(lambda self: odd))
+    out = oof.one_hot_baseline(spark, sf_dir, cutoff).toPandas()
+    assert len(out) == odd.where(late | F.col("training_day").isNull()).count()
+    assert all(out[p].between(.001, .999).all() for p in SCORES.values())
+
+
 def test_unknown_study_is_refused(spark, sf_dir):
     with pytest.raises(ValueError):
         search.param_search(spark, sf_dir, 1, {"7d_ll": "07"})

@@ -26,6 +26,8 @@ from tidemark.config import CLIP_HIGH, CLIP_LOW, SEED
 from tidemark.sources.workspace import materialise
 
 RANK_BINS, RANK_EVERY = 1024, 5
+#: A search fits many settings at once: group ``variant * VARIANT + fold`` is a fold under one of them.
+VARIANT = 1000
 _TREES = "fold int, label string, stage int, feature array<int>, threshold array<float>, value array<double>"
 Key = tuple[int, str]
 
@@ -190,32 +192,38 @@ def _collected(trees: DataFrame) -> dict[Key, list[Tree]]:
     return {k: [v[i] for i in sorted(v)] for k, v in held.items()}
 
 
-def _grown(rows: DataFrame, labels: list[str], wanted: list[Key], before: dict[Key, list[Tree]], s: Booster, rounds: int) -> DataFrame:
+def _grown(rows: DataFrame, labels: list[str], wanted: list[Key], before: dict[Key, list[Tree]], settings: dict[int, Booster], rounds: int) -> DataFrame:
     """The next block of trees of the wanted groups, as a written table."""
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    s = next(iter(settings.values()))
     share = F.lit(1.0)
     for fold, n in sizes.items():
         share = F.when(F.col("fold") == fold, min(1.0, s.most_rows / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("x", "w", *[f"y_{y}" for y in labels], F.lit(s.seed)), F.lit(1 << 30)) < share * (1 << 30)
     sides = F.array(*[F.struct(F.lit(y).alias("label"), F.col(f"y_{y}").alias("y")) for y in labels])
     long = rows.where(drawn).select("fold", "x", "w", F.inline(sides)).where("y is not null")
-    asked = F.lit(False)
-    for fold, label in wanted:
-        asked = asked | ((F.col("fold") == fold) & (F.col("label") == label))
+    groups: dict[Key, list[int]] = {}
+    for group, label in wanted:
+        groups.setdefault((group % VARIANT, label), []).append(group)
+    asked = F.lit(None).cast("array<int>")
+    for (fold, label), numbers in groups.items():
+        asked = F.when((F.col("fold") == fold) & (F.col("label") == label), F.array(*map(F.lit, numbers))).otherwise(asked)
+    long = long.select(F.explode(asked).alias("fold"), "label", "x", "w", "y")
 
     def fit(group: pa.Table) -> pa.Table:
         key = group.column("fold")[0].as_py(), group.column("label")[0].as_py()
         x, y, w = _matrix(group.column("x")), group.column("y").to_numpy(), group.column("w").to_numpy()
         # Rows come in any order: the fit must not depend on it.
         by = np.lexsort((*x.T[::-1], w, y))
+        own = settings[key[0] // VARIANT]
         done = before.get(key, [])
-        made = grow_block(x[by], y[by], w[by], done, s, s.seed, rounds)
+        made = grow_block(x[by], y[by], w[by], done, own, own.seed, min(rounds, own.rounds - max(0, len(done) - 1)))
         at = range(len(done), len(done) + len(made))
         return pa.table({"fold": pa.array([key[0]] * len(made), pa.int32()), "label": [key[1]] * len(made), "stage": pa.array(list(at), pa.int32()),
                          "feature": pa.array([t.feature.tolist() for t in made], pa.list_(pa.int32())),
                          "threshold": pa.array([t.threshold.tolist() for t in made], pa.list_(pa.float32())),
                          "value": pa.array([t.value.tolist() for t in made], pa.list_(pa.float64()))})
-    return materialise(long.where(asked).groupBy("fold", "label").applyInArrow(fit, _TREES), "trees")
+    return materialise(long.groupBy("fold", "label").applyInArrow(fit, _TREES), "trees")
 
 
 def stage_losses(rows: DataFrame, trees: dict[Key, list[Tree]], ranks: bool = False) -> dict[Key, np.ndarray]:
@@ -228,7 +236,7 @@ def stage_losses(rows: DataFrame, trees: dict[Key, list[Tree]], ranks: bool = Fa
             folds, x = batch.column("fold").to_numpy(), _matrix(batch.column("x"))
             for (fold, label), held in trees.items():
                 y = batch.column(f"y_{label}").to_numpy(zero_copy_only=False)
-                some = np.flatnonzero((folds == fold) & ~np.isnan(y))
+                some = np.flatnonzero((folds == fold % VARIANT) & ~np.isnan(y))
                 if not len(some):
                     continue
                 xs, ys, margin = x[some], y[some], np.zeros(len(some))
@@ -275,25 +283,37 @@ class Fitted:
     report: list[tuple[int, str, int, int, float]]
 
 
-def fit(rows: DataFrame, labels: list[str], s: Booster, validate: bool = True, rounds: dict[Key, int] | None = None) -> Fitted:
-    """Fits every fold and label of ``rows`` (made by ``table``). Without ``validate`` all rounds are kept, ``rounds`` of
-    each (fold, label) or those of the settings."""
+def fit(rows: DataFrame, labels: list[str], s: Booster, validate: bool = True, rounds: dict[Key, int] | None = None,
+        variants: list[Booster] | None = None) -> Fitted:
+    """Fits every fold and label of ``rows`` (made by ``table``).
+
+    Without ``validate`` all rounds are kept, ``rounds`` of each (fold, label) or those of the settings. ``variants``
+    are settings that compete: all are fitted in the same jobs, and after each block the worse half of those still
+    going, by the mean loss of their best prefixes, stops growing (successive halving).
+    """
+    settings = dict(enumerate(variants)) if variants else {0: s}
+    if rounds:
+        settings = {0: s.but(rounds=max(rounds.values()))}
     train, val = rows.where("role = 'train'"), rows.where("role = 'val'")
     folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
-    going = [(f, y) for f in folds for y in labels]
+    going = [(v * VARIANT + f, y) for v in settings for f in folds for y in labels]
     trees: dict[Key, list[Tree]] = {}
     losses: dict[Key, np.ndarray] = {}
-    most = max(rounds.values()) if rounds else s.rounds
     while going:
-        left = most - max(0, max(len(trees.get(k, [])) for k in going) - 1)
-        for key, more in _collected(_grown(train, labels, going, trees, s, min(s.block, left))).items():
+        for key, more in _collected(_grown(train, labels, going, trees, settings, s.block)).items():
             trees[key] = trees.get(key, []) + more
         missing = [k for k in going if k not in trees]
         if missing:
             raise ValueError(f"no training rows for {missing}")
         if validate:
             losses |= stage_losses(val, {k: trees[k] for k in going}, s.by_auc)
-        going = [k for k in going if len(trees[k]) <= most and (not validate or len(trees[k]) - 1 - int(losses[k].argmin()) < s.patience)]
+        going = [k for k in going if len(trees[k]) <= settings[k[0] // VARIANT].rounds
+                 and (not validate or len(trees[k]) - 1 - int(losses[k].argmin()) < settings[k[0] // VARIANT].patience)]
+        if variants:
+            mean = {v: np.mean([losses[k].min() for k in losses if k[0] // VARIANT == v]) for v in settings}
+            order = sorted({k[0] // VARIANT for k in going}, key=lambda v: (mean[v], v))
+            stay = set(order[:-(-len(order) // 2)]) if len(order) > 1 else set(order)
+            going = [k for k in going if k[0] // VARIANT in stay]
     report = []
     for key in sorted(trees):
         grown = len(trees[key]) - 1
@@ -315,6 +335,25 @@ def load(trees: DataFrame) -> Fitted:
     return Fitted(_collected(trees), [])
 
 
+def score_variants(rows: DataFrame, fitted: Fitted, label: str, out: str, keep: list[str]) -> DataFrame:
+    """``variant``, ``fold``, ``keep`` and the probability ``out`` of each row under the trees of every variant of its fold."""
+    variants = sorted({f // VARIANT for f, y in fitted.trees if y == label})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds, x = batch.column("fold").to_numpy(), _matrix(batch.column("x"))
+            for v in variants:
+                p = np.full(len(folds), np.nan)
+                for fold in np.unique(folds).tolist():
+                    some = np.flatnonzero(folds == fold)
+                    p[some] = sigmoid(np.sum([t.margins(x[some]) for t in fitted.trees[v * VARIANT + fold, label]], axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(folds), v, np.int32)), *(batch.column(c) for c in ("fold", *keep)),
+                                                  pa.array(np.clip(p, CLIP_LOW, CLIP_HIGH))], names=["variant", "fold", *keep, out])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(["variant int", *(f"`{c}` {kinds[c]}" for c in ("fold", *keep)), f"`{out}` double"])
+    return rows.select("fold", "x", *keep).mapInArrow(run, schema)
+
+
 def score(rows: DataFrame, fitted: Fitted, scores: dict[str, str], keep: list[str]) -> DataFrame:
     """``fold``, ``keep`` and, by label, the clipped probabilities of each row under its fold's trees."""
     names = ["fold", *keep, *scores.values()]

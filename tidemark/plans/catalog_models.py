@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.config import CLIP_HIGH, CLIP_LOW, ID, LABELS, SCORES
+from tidemark.config import CLIP_HIGH, CLIP_LOW, ID, LABELS, SCORES, SEED
 from tidemark.functions.probability import clip, ordered
 from tidemark.operators import blending, calibration, metrics
 from tidemark.plans import oof, search
@@ -224,6 +224,16 @@ def param_search(spark, sf_dir):
     return search.param_search(spark, sf_dir, trials=30)
 
 
+@query
+def refit_reproducibility(spark, sf_dir):
+    """Three refits under one seed must agree, refits under two seeds must not."""
+    found = search.refits(spark, sf_dir, {"one_seed": [SEED] * 3, "two_seeds": [SEED, SEED + 1]})
+    return found.select("model", "reproducible")
+
+
+ORACLES["refit_reproducibility"] = "SELECT 'one_seed' AS model, CAST(1 AS INT) AS reproducible UNION ALL SELECT 'two_seeds', 0"
+
+
 # ---------------------------------------------------------------- invariants of the runs
 
 #: Runs over all validation windows, and whether their horizons must be ordered.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -473,13 +473,18 @@ def one_hot_baseline(spark, sf_dir, cutoff: str = "2000-01-01") -> DataFrame:
     most = counts.groupBy("c").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     common = {r["c"]: r["v"] for r in most.collect()}
     train, val = train.fillna(common), val.fillna(common)
-    indexed = StringIndexer(inputCols=names, outputCols=[f"{c}_i" for c in names],
-                            handleInvalid="keep").fit(train)
-    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in names], outputCols=[f"{c}_v" for c in names],
-                        dropLast=False, handleInvalid="keep").fit(indexed.transform(train))
+    # Codes come from a distributed sort and reach the rows by joins; 0 stands for values that training has not seen.
+    codes = workspace.Parts(encoding.category_codes([train], names), "codes", "col")
+
+    def coded(rows: DataFrame) -> DataFrame:
+        rows = encoding.attach_codes(rows, codes, names, {c: f"{c}_i" for c in names})
+        return rows.withColumns({f"{c}_i": F.col(f"{c}_i") + 1 for c in names})
+    train, val = workspace.materialise(coded(train), "coded"), workspace.materialise(coded(val), "coded")
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in names], outputCols=[f"{c}_v" for c in names], dropLast=False,
+                        handleInvalid="keep").fit(train)  # sizes are the largest codes
 
     def ready(rows: DataFrame) -> DataFrame:
-        return models.vectors(hot.transform(indexed.transform(rows)), [f"{c}_v" for c in names])
+        return models.vectors(hot.transform(rows), [f"{c}_v" for c in names])
 
     n = train.count()
     out = ready(val)
