@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import drop, write
 
-PARTS = 6
+#: Parts that a range is cut into; one of at most ``FULL`` units is cut into these at once.
+PARTS, FULL = 6, 16
 #: By kind: whether the first and the second edit is a deletion.
 _DELETES = ((0, 0), (1, 0), (0, 1), (1, 1))
 _TABLES = np.random.default_rng(9).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -85,10 +86,10 @@ def first_masks(n: int, least: int) -> np.ndarray:
 def _parts(lo: int, hi: int, deletes: int, size: int) -> list[tuple[int, int]]:
     """A range cut for one kind of edit: down to a unit, or to the gap before one (and the last one)."""
     width = hi - lo
-    if deletes and width == 1:
-        return [(lo, lo)] + [(hi, hi)] * (hi == size)
-    if width <= 1:
-        return [(lo, hi)]
+    if width <= FULL:
+        if deletes:
+            return [(g, g) for g in range(lo, hi + (hi == size))] if width else [(lo, lo)]
+        return [(u, u + 1) for u in range(lo, hi)] or [(lo, hi)]
     count = min(PARTS, width)
     edges = [lo + width * k // count for k in range(count + 1)]
     return list(zip(edges, edges[1:], strict=False))

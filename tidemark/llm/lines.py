@@ -278,7 +278,7 @@ def _hot_links(bodies: DataFrame, characters: bool, edits: int = 1) -> DataFrame
     # A place of -1 is a line with some unit left out; for one edit its centre is the line that it becomes.
     centre = F.when((F.col("place") >= 0) | F.col("whole") | F.lit(edits > 1), F.col("id"))
     centres = rows.groupBy(*key).agg(F.min(centre).alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null")
-    return rows.join(centres, key).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    return rows.join(centres.hint("merge"), key).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def _across(hot: DataFrame, roots: DataFrame, bodies: DataFrame, rule: Rule, bucket: int) -> DataFrame:
