@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
+from tidemark.llm.sketch import sketch
 from tidemark.llm.tables import two, write
 
 SPAN, GRAM, SHARD_BYTES = 200, 32, 1 << 19
-#: Texts that hold wanted segments are sent to the tasks as ids up to this many; more are joined.
-SENT_IDS = 400_000
 _TABLES = np.random.default_rng(8).integers(0, 1 << 64, (3, 256), dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE = ["doc_key", "text_key", "start", "count"]
@@ -230,13 +229,20 @@ def _index_shard(span: int):
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """``name, body, bytes`` of the wanted segments, cut from their texts."""
+    """``name, body, bytes`` of the wanted segments, cut from their texts: each has one carrier, and a filter of fixed size keeps
+    most other texts from being sent on."""
     per = write(wanted.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("name", "body", "start", "count")).alias("parts")), "wanted")
-    if per.count() <= SENT_IDS:
-        ids = F.broadcast(per.select("doc_key", "text_key"))
-        rows = _keyed(docs).join(ids, ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"])
-    else:
-        rows = _keyed(docs).dropDuplicates(["doc_key", "text_key"])
+    likely = sketch(per, "text_key")
+
+    def carriers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = likely.holds(batch.column(1).to_numpy())
+            if held.any():
+                yield batch.filter(pa.array(held))
+    rows = _keyed(docs).mapInArrow(carriers, "doc_key long, text_key long, text string")
+    # Rows that share id and text are one carrier; copies under other ids are no wanted ones.
+    rows = rows.join(per.select("doc_key", "text_key").hint("merge"), ["doc_key", "text_key"], "left_semi")
+    rows = rows.groupBy("doc_key", "text_key").agg(F.first("text").alias("text"))
     rows = rows.join(per.hint("merge"), ["doc_key", "text_key"]).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
