@@ -130,7 +130,7 @@ def search_blend(oof: DataFrame, models: list[str], steps: int = 10, fine: int =
 # ---------------------------------------------------------------- search without copies of rows
 
 #: Bins of a score's log-odds for the AUC of a candidate: 1/64 apart between odds of exp(-8) and exp(8).
-_BINS, _REACH = 1024, 8.0
+BINS, REACH = 1024, 8.0
 
 
 def sides(oof: DataFrame, systems: list[str]) -> DataFrame:
@@ -150,6 +150,17 @@ def _packed(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def histogram(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per horizon (column): rows by bin, positives by bin, and the summed loss."""
+    out = np.zeros((p.shape[1], 2 * BINS + 1))
+    at = np.clip((np.log(p / (1 - p)) + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64)
+    for h in range(p.shape[1]):
+        out[h, :BINS] = np.bincount(at[:, h], minlength=BINS)
+        out[h, BINS:-1] = np.bincount(at[:, h], weights=y[:, h], minlength=BINS)
+    out[:, -1] = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(0)
+    return out
+
+
 def judged(table: DataFrame, candidates: np.ndarray, folds: list[int]) -> list[dict[str, float]]:
     """Score, fold spread and worst fold of every candidate (weights of the systems), in one pass over the rows.
 
@@ -158,24 +169,17 @@ def judged(table: DataFrame, candidates: np.ndarray, folds: list[int]) -> list[d
     """
     count, horizons, places = len(candidates), len(LABELS), {f: i for i, f in enumerate(folds)}
     width = len(folds) * horizons
-    shape = (width, 2 * _BINS + 1)
+    shape = (width, 2 * BINS + 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, *shape))
+        total = np.zeros((count, len(folds), horizons, shape[1]))
         for batch in batches:
             fold = np.array([places[f] for f in batch.column("fold").to_pylist()], np.int64)
             y, x = _packed(batch.column("y")), _packed(batch.column("x")).reshape(batch.num_rows, horizons, -1)
-            cell = fold[:, None] * horizons + np.arange(horizons)
-            for c, w in enumerate(candidates):
-                p = np.clip(x @ w, CLIP_LOW, CLIP_HIGH)
-                odds = np.log(p / (1 - p))
-                at = cell * _BINS + np.clip((odds + _REACH) * (_BINS / (2 * _REACH)), 0, _BINS - 1).astype(np.int64)
-                n = np.bincount(at.ravel(), minlength=width * _BINS).reshape(width, _BINS)
-                pos = np.bincount(at.ravel(), weights=y.ravel(), minlength=width * _BINS).reshape(width, _BINS)
-                loss = -(y * np.log(p) + (1 - y) * np.log(1 - p))
-                total[c, :, :_BINS] += n
-                total[c, :, _BINS:-1] += pos
-                total[c, :, -1] += np.bincount(cell.ravel(), weights=loss.ravel(), minlength=width)
+            for k in np.unique(fold):
+                own = fold == k
+                for c, w in enumerate(candidates):
+                    total[c, k] += histogram(np.clip(x[own] @ w, CLIP_LOW, CLIP_HIGH), y[own])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array([t.tobytes() for t in total], pa.binary())], names=["c", "t"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -189,16 +193,16 @@ def judged(table: DataFrame, candidates: np.ndarray, folds: list[int]) -> list[d
     out: list[dict[str, float]] = [{}] * count
     for r in parts.collect():
         t = np.frombuffer(r["t"]).reshape(len(folds), horizons, shape[1])
-        per = [_share(part) for part in t]
-        out[r["c"]] = {"score": _share(t.sum(0)), "fold_std": float(np.std(per)), "worst_fold": float(min(per))}
+        per = [share(part) for part in t]
+        out[r["c"]] = {"score": share(t.sum(0)), "fold_std": float(np.std(per)), "worst_fold": float(min(per))}
     return out
 
 
-def _share(parts: np.ndarray) -> float:
+def share(parts: np.ndarray) -> float:
     """Weighted score from the histogram and loss of each horizon."""
     total = 0.0
     for h, part in zip(LABELS, parts):
-        n, pos = part[:_BINS], part[_BINS:-1]
+        n, pos = part[:BINS], part[BINS:-1]
         neg = n - pos
         both = pos.sum() * neg.sum()
         auc = float((pos * (np.cumsum(neg) - neg / 2)).sum() / both) if both else 0.5

@@ -12,8 +12,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -154,8 +153,3 @@ def out_of_fold(frames: list[FoldFrame], learner: Booster | Learner | Callable[[
         out = part if out is None else out.unionByName(part)
     return out
 
-
-def interval_network(layers: list[int], blocks: int = 128, iterations: int = 60) -> Estimator:
-    return MultilayerPerceptronClassifier(labelCol="interval", featuresCol="features",
-                                          layers=layers, seed=SEED, blockSize=blocks,
-                                          maxIter=iterations)

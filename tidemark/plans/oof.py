@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import (CATEGORICAL, COLD, DAY, GATING_KEYS, HISTORY_WEIGHT, ID, LABELS,
-                             MAX_CLASS_WEIGHT, MINIMAL, SCORES, TOPICS, TRAINER, VETTED, WARM,
+                             MINIMAL, SCORES, TOPICS, TRAINER, VETTED, WARM,
                              FeatureGroups)
 from tidemark.functions import fields
 from tidemark.functions.probability import clip, cumulative, intervals, ordered
 from tidemark.operators import (blending, boosting, calibration, encoding, factor, graph, metrics, models,
-                                profiles, text, weights)
+                                network, profiles, text, weights)
 from tidemark.operators.folds import Fold, in_training, in_validation
 from tidemark.operators.interactions import linear_interactions
 from tidemark.operators.models import FoldFrame, Learner
@@ -201,35 +200,23 @@ def elastic_net(spark, sf_dir, strength: float = 0.5, l1_share: float = 0.3) ->
         "elastic", strength, l1_share, f.train().count(), standardised=True))
 
 
-def interval_network(spark, sf_dir, hidden: tuple[int, ...] = (128, 64)) -> DataFrame:
-    """One network over four outcomes (0-7, 8-90, 91-120 days, none); class probabilities add up
-    to nested scores. Rare intervals are repeated, as the network takes no row weights."""
-    frames = scaled_frames(fold_frames(spark, sf_dir))
-    y07, y90, y120 = (F.col(y) for y in LABELS.values())
-    interval = F.when(y07 == 1, 0.0).when(y90 == 1, 1.0).when(y120 == 1, 2.0).otherwise(3.0)
-
-    def run(frame: FoldFrame) -> DataFrame:
-        train = frame.train().withColumn("interval", interval)
-        sizes = {r["interval"]: r["count"] for r in train.groupBy("interval").count().collect()}
-        top = max(sizes.values())
-        copies = F.lit(1)
-        for k, n in sizes.items():
-            times = int(min(MAX_CLASS_WEIGHT, max(1, round(0.25 * top / n))))
-            copies = F.when(F.col("interval") == k, times).otherwise(copies)
-        more = train.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-        ready = models.vectors(more, frame.features).select("features", "interval")
-        model = models.interval_network([len(frame.features), *hidden, 4]).fit(ready)
-        p = vector_to_array("probability")
-        scored = model.transform(models.vectors(frame.val(), frame.features))
-        sums = (p[0], p[0] + p[1], p[0] + p[1] + p[2])
-        return scored.select(ID, F.lit(frame.number).alias("fold"), *[
-            clip(s).alias(n) for s, n in zip(sums, SCORES.values())], *LABELS.values())
-
-    parts = models.in_parallel([lambda f=f: run(f) for f in frames])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def interval_rows(spark, sf_dir) -> DataFrame:
+    """Scaled rows of all folds in the form that the network takes, written once."""
+    out = None
+    for frame in scaled_frames(fold_frames(spark, sf_dir)):
+        x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in frame.features])
+        y = F.array(*[F.col(c).cast("double") for c in LABELS.values()])
+        part = frame.rows.select(F.lit(frame.number).alias("fold"), (F.col("role") == "train").alias("train"), x.alias("x"), y.alias("y"), ID, *LABELS.values())
+        out = part if out is None else out.unionByName(part)
+    return workspace.materialise(out, "network")
+
+
+def interval_network(spark, sf_dir, hidden: tuple[int, ...] = network.HIDDEN, **settings) -> DataFrame:
+    """One network per fold with a hazard head for each interval (0-7, 8-90, 91-120 days); hazards multiply up to nested scores."""
+    rows = interval_rows(spark, sf_dir)
+    nets, _ = network.fit(rows, hidden, **settings)
+    scored = network.score(rows.where("not train"), nets, list(SCORES.values()), [ID, *LABELS.values()])
+    return scored.select(ID, "fold", *SCORES.values(), *LABELS.values())
 
 
 def stacking(spark, sf_dir) -> DataFrame:
