@@ -207,7 +207,7 @@ def share(parts: np.ndarray) -> float:
         both = pos.sum() * neg.sum()
         auc = float((pos * (np.cumsum(neg) - neg / 2)).sum() / both) if both else 0.5
         total += AUC_WEIGHT[h] * auc + LL_WEIGHT[h] * (1 - float(part[-1]) / max(n.sum(), 1) / LL_SCALE)
-    return total
+    return float(total)
 
 
 def _rank(found: dict[str, float], floor: float | None, penalty: float) -> tuple[bool, float]:

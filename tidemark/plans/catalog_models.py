@@ -170,7 +170,7 @@ def _systems(spark, sf_dir):
 
 
 def _described(spark, found):
-    return spark.createDataFrame([(*found["weights"].values(), found["score"], found["fold_std"], found["worst_fold"], int(found["feasible"]), found["passes"])],
+    return spark.createDataFrame([(*map(float, found["weights"].values()), *(float(found[c]) for c in ("score", "fold_std", "worst_fold")), int(found["feasible"]), found["passes"])],
                                  ", ".join(f"w_{m} double" for m in found["weights"]) + ", score double, fold_std double, worst_fold double, feasible int, passes int")
 
 
