@@ -50,6 +50,8 @@ class Booster:
     block: int = 200
     most_rows: int = 100_000
     by_auc: bool = False
+    #: Positives weigh negatives / positives of the rows, as published for two of the stacked learners.
+    balanced: bool = False
     seed: int = SEED
 
     def but(self, **changes) -> "Booster":
@@ -143,6 +145,9 @@ def _grow(codes: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarr
 def grow_block(x: np.ndarray, y: np.ndarray, w: np.ndarray, before: list[Tree], s: Booster, seed: int, rounds: int) -> list[Tree]:
     """The next trees of an ensemble; the first one ever is the constant."""
     x = x.astype(np.float32)
+    if s.balanced:
+        positive = min(max(float((w * y).sum() / max(w.sum(), 1e-12)), 1e-6), 1 - 1e-6)
+        w = np.where(y > 0, w * (1 - positive) / positive, w)
     out = []
     if not before:
         share = min(max(float((w * y).sum() / max(w.sum(), 1e-12)), 1e-6), 1 - 1e-6)

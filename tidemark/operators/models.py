@@ -111,29 +111,31 @@ class FoldFrame:
 
 def boosting_rows(frames: list[FoldFrame], booster: Booster, labels: dict[str, str] = LABELS, keep: list[str] | None = None) -> DataFrame:
     """The rows of all folds in the form that boosting takes, written once."""
-    kept = list(dict.fromkeys([ID, *LABELS.values(), *(keep or [])]))
+    kept = [c for c in dict.fromkeys([ID, *LABELS.values(), *(keep or [])]) if c != "role"]
     return boosting.table([(f.number, f.rows) for f in frames], {f.number: f.features for f in frames}, list(labels.values()), kept, booster.weight)
 
 
 def boosted_scores(rows: DataFrame, fitted: boosting.Fitted, labels: dict[str, str] = LABELS, scores: dict[str, str] = SCORES,
-                   keep: list[str] | None = None) -> DataFrame:
-    """Row id, fold, scores, labels and ``keep`` of the validation rows."""
+                   keep: list[str] | None = None, roles: tuple[str, ...] = ("val",)) -> DataFrame:
+    """Row id, fold, scores, labels and ``keep`` of the validation rows, or of the rows in other roles."""
     kept = list(dict.fromkeys([ID, *LABELS.values(), *(keep or [])]))
-    out = boosting.score(rows.where("role = 'val'"), fitted, {y: scores[h] for h, y in labels.items()}, kept)
+    out = boosting.score(rows.where(F.col("role").isin(*roles)), fitted, {y: scores[h] for h, y in labels.items()}, kept)
     return out.select(ID, "fold", *[scores[h] for h in labels], *kept[1:])
 
 
 def out_of_fold(frames: list[FoldFrame], learner: Booster | Learner | Callable[[FoldFrame], Learner],
                 labels: dict[str, str] = LABELS, scores: dict[str, str] = SCORES,
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, roles: tuple[str, ...] = ("val",)) -> DataFrame:
     """Fit per fold and label, score the fold's validation rows.
 
     Returns row id, fold, scores, labels and ``keep``; rows outside all validation windows are
     absent. The three label models of a fold score the same rows in turn, so nothing is joined.
+    With other ``roles`` the fold's rows in these roles are scored; a row in role ``test`` has a
+    score under each fold (``keep`` may name ``role``).
     """
     if isinstance(learner, Booster):
         rows = boosting_rows(frames, learner, labels, keep)
-        return boosted_scores(rows, boosting.fit(rows, list(labels.values()), learner), labels, scores, keep)
+        return boosted_scores(rows, boosting.fit(rows, list(labels.values()), learner), labels, scores, keep, roles)
 
     def learner_of(frame: FoldFrame) -> Learner:
         return learner if isinstance(learner, Learner) else learner(frame)
@@ -145,7 +147,7 @@ def out_of_fold(frames: list[FoldFrame], learner: Booster | Learner | Callable[[
     models = in_parallel(tasks)
     out = None
     for i, frame in enumerate(frames):
-        scored = vectors(frame.val(), frame.features)
+        scored = vectors(frame.rows.where(F.col("role").isin(*roles)), frame.features)
         for j, h in enumerate(labels):
             scored = score_with(models[i * len(labels) + j], scored, scores[h])
         part = scored.select(ID, F.lit(frame.number).alias("fold"), *[scores[h] for h in labels],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.config import (DAY, LABELS, MIN_SUPPORT, PERSON, PROFILE_KEYS, TOPICS,
                              UNSEEN_RATE)
@@ -111,11 +112,37 @@ def target_encoding(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFr
     return confidence_profile(counts, min_support)
 
 
+def earlier_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and label hits of each key value on all days *before* a day on which it occurs, with the overall rates before it.
+
+    Rows shrink to one per (key, value, day) before the windows, which then hold at most one row per calendar day,
+    however hot a value is. Days on which nothing of the key value is known yet are left out.
+    """
+    pairs = [F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys]
+    pairs.append(F.struct(F.lit(EVERY).alias("key_name"), F.lit(EVERY).alias("key_value")))
+    flat = rows.where(F.col(DAY).isNotNull()).select(DAY, F.inline(F.array(*pairs)), *LABELS.values())
+    daily = flat.where(F.col("key_value").isNotNull()).groupBy("key_name", "key_value", DAY).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(f"s{h}") for h, y in LABELS.items()])
+    before = (Window.partitionBy("key_name", "key_value").orderBy(DAY)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    known = daily.select("key_name", "key_value", DAY, *[F.sum(c).over(before).alias(c) for c in
+                                                         ("n", *[f"s{h}" for h in LABELS])]).where("n > 0")
+    overall = known.where(F.col("key_name") == EVERY).select(
+        DAY, *[(F.col(f"s{h}") / F.col("n")).alias(f"g{h}") for h in LABELS])
+    return known.where(F.col("key_name") != EVERY).join(overall, DAY)
+
+
+def daily_encoding(rows: DataFrame, keys: list[str], min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Encodings per key value and day from earlier days only, so that no row's own label is in them."""
+    return earlier_counts(rows, keys).select(DAY, "key_name", "key_value", F.col("n").alias("count"),
+                                             *_confident(min_support))
+
+
 def attach_profile(rows: DataFrame, profile: DataFrame | Parts, key: str, prefix: str,
                    fill: float | None = None) -> DataFrame:
     """Left-join the profile columns of one key, named ``<prefix>_<column>``."""
-    names = [c for c in profile.columns if c not in ("key_name", "key_value", "fold")]
-    keys = ["fold"] if "fold" in profile.columns and "fold" in rows.columns else []
+    names = [c for c in profile.columns if c not in ("key_name", "key_value", "fold", DAY)]
+    keys = [c for c in ("fold", DAY) if c in profile.columns and c in rows.columns]
     side = part(profile, "key_name", key).select(
         *keys, F.col("key_value").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
     out = rows.join(side, [*keys, key], "left")

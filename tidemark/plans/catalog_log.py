@@ -429,6 +429,38 @@ ORACLES["asof_target_encoding"] = sql(
     {f"te_{k}": _te_cte(k) for k in ENCODED_KEYS})
 
 
+@query
+def asof_day_encoding(spark, sf_dir):
+    """Encodings of every training row from strictly earlier days, as a fit takes them."""
+    log = TrainingLog(spark, sf_dir)
+    encodings = workspace.materialise(profiles.daily_encoding(log.train, ENCODED_KEYS), "encodings")
+    rows = profiles.attach_encodings(log.train.select(ID, DAY, *ENCODED_KEYS), encodings, ENCODED_KEYS)
+    return rows.select(ID, *[r6(F.col(c).cast("double")).alias(c) for c in rows.columns if c.startswith("te_")])
+
+
+def _te_day(key: str) -> str:
+    """Encoded columns of a row by windows over all rows of earlier days."""
+    cols = [f"coalesce(n_{key}, 0.5e0) AS te_{key}_count"]
+    for h, y in LABELS.items():
+        p = f"((s{h}_{key} + 10e0 * g{h}) / (n_{key} + 10e0))"
+        rate = f"(CASE WHEN n_{key} < 10 THEN g{h} ELSE {p} END)"
+        se = f"(CASE WHEN n_{key} < 10 THEN 1e0 ELSE sqrt({p} * (1 - {p}) / (n_{key} + 10e0)) END)"
+        cols += [f"CASE WHEN n_{key} > 0 THEN {c} ELSE 0.5e0 END AS te_{key}_{y}_rate_{s}" for s, c in
+                 (("smoothed", rate), ("se", se), ("lower95", f"greatest(0e0, {rate} - 1.96e0 * {se})"))]
+    return ", ".join(cols)
+
+
+_EARLIER = "ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+ORACLES["asof_day_encoding"] = sql(
+    "SELECT row_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _TE_COLUMNS)
+    + " FROM (SELECT row_id, " + ", ".join(_te_day(k) for k in ENCODED_KEYS) + " FROM earlier)",
+    {"earlier": "SELECT row_id, " + ", ".join(
+        [f"avg({y}) OVER ({_EARLIER}) AS g{h}" for h, y in LABELS.items()]
+        + [f"nullif(count(*) OVER (PARTITION BY {k} {_EARLIER}), 0) AS n_{k}" for k in ENCODED_KEYS]
+        + [f"sum({y}) OVER (PARTITION BY {k} {_EARLIER}) AS s{h}_{k}" for k in ENCODED_KEYS for h, y in LABELS.items()])
+     + " FROM train"})
+
+
 @query
 def interaction_target_encoding(spark, sf_dir):
     log = TrainingLog(spark, sf_dir)

@@ -72,6 +72,22 @@ def stacking_oof(spark, sf_dir):
     return oof.saved(spark, sf_dir, "stacking", lambda: oof.stacking(spark, sf_dir))
 
 
+@query
+def encoded_oof(spark, sf_dir):
+    return oof.saved(spark, sf_dir, "encoded", lambda: oof.encoded(spark, sf_dir))
+
+
+@query
+def encoded_by_day_oof(spark, sf_dir):
+    return oof.saved(spark, sf_dir, "encoded-by-day", lambda: oof.encoded(spark, sf_dir, by_day=True))
+
+
+@query
+def encoding_gate(spark, sf_dir):
+    """Gate of the encodings, as published and by day, against the plain trees."""
+    return search.gated({"encoded": encoded_oof(spark, sf_dir), "encoded_by_day": encoded_by_day_oof(spark, sf_dir)}, _gbt(spark, sf_dir), "E5")
+
+
 @query
 def elastic_net_oof(spark, sf_dir):
     return oof.saved(spark, sf_dir, "elastic_net", lambda: oof.elastic_net(spark, sf_dir))
@@ -238,6 +254,7 @@ ORACLES["refit_reproducibility"] = "SELECT 'one_seed' AS model, CAST(1 AS INT) A
 
 #: Runs over all validation windows, and whether their horizons must be ordered.
 _RUNS = {"gbt_oof": False, "dual_head_oof": False, "source_weighted_oof": False, "stacking_oof": False, "elastic_net_oof": False,
+         "encoded_oof": False, "encoded_by_day_oof": False,
          "drift_weighted_oof": False, "hazard_oof": True, "interval_mlp_oof": True, "warm_cold_oof": False, "cohort_calibration": True,
          "text_view_oof": False, "graph_view_oof": False, "walk_view_oof": False, "multi_view_blend": True}
 

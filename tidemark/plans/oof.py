@@ -9,14 +9,14 @@ from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import (CATEGORICAL, COLD, DAY, GATING_KEYS, HISTORY_WEIGHT, ID, LABELS,
+from tidemark.config import (CATEGORICAL, COLD, DAY, ENCODED_KEYS, GATING_KEYS, HISTORY_WEIGHT, ID, LABELS,
                              MINIMAL, SCORES, TOPICS, TRAINER, VETTED, WARM,
                              FeatureGroups)
 from tidemark.functions import fields
 from tidemark.functions.probability import clip, cumulative, intervals, ordered
 from tidemark.operators import (blending, boosting, calibration, encoding, factor, graph, metrics, models,
                                 network, profiles, text, weights)
-from tidemark.operators.folds import Fold, in_training, in_validation
+from tidemark.operators.folds import Fold, fold_roles, in_training, in_validation
 from tidemark.operators.interactions import linear_interactions
 from tidemark.operators.models import FoldFrame
 from tidemark.plans import matrix
@@ -249,6 +249,46 @@ def stacking(spark, sf_dir) -> DataFrame:
     return out.select(ID, "fold", *SCORES.values(), *LABELS.values())
 
 
+# ---------------------------------------------------------------- label encodings in a fit
+
+def encoded_frames(spark, sf_dir, by_day: bool = False) -> list[FoldFrame]:
+    """Minimal matrix with label encodings of trainer, group and county.
+
+    As published, all rows of a fold take encodings of its training rows, in which a training row's own label is
+    contained. With ``by_day`` a training row takes those of strictly earlier days instead; validation rows do not change.
+    """
+    log = TrainingLog(spark, sf_dir)
+    made = log_folds(log)
+    keys = [DAY, *ENCODED_KEYS]
+
+    def by_fold() -> DataFrame:
+        counts = workspace.materialise(profiles.key_counts(log.train, ENCODED_KEYS, made), "counts")
+        encodings = workspace.materialise(profiles.target_encoding(counts), "encodings")
+        rows = fold_roles(log.train.select(ID, *keys), made)
+        return profiles.attach_encodings(rows, encodings, ENCODED_KEYS).drop("role", *keys)
+
+    def by_days() -> DataFrame:
+        encodings = workspace.materialise(profiles.daily_encoding(log.train, ENCODED_KEYS), "encodings")
+        return profiles.attach_encodings(log.train.select(ID, *keys), encodings, ENCODED_KEYS).drop(*keys)
+    whole = workspace.shared(spark, f"encoded-fold:{sf_dir}", by_fold, ["fold"])
+    early = workspace.shared(spark, f"encoded-day:{sf_dir}", by_days) if by_day else None
+    names = [c for c in whole.columns if c.startswith("te_")]
+
+    def attach(frame: FoldFrame) -> FoldFrame:
+        own = whole.where(F.col("fold") == frame.number).drop("fold")
+        if early is None:
+            rows = frame.rows.join(own, ID)
+        else:
+            rows = frame.train().join(early, ID).unionByName(frame.val().join(own, ID))
+        return FoldFrame(frame.number, rows, [*frame.features, *names])
+    return [attach(f) for f in fold_frames(spark, sf_dir)]
+
+
+def encoded(spark, sf_dir, by_day: bool = False, **options) -> DataFrame:
+    """Trees on the minimal matrix with label encodings."""
+    return models.out_of_fold(encoded_frames(spark, sf_dir, by_day), models.boosted("encoded", **options))
+
+
 # ---------------------------------------------------------------- cohorts
 
 def gate_frames(spark, sf_dir) -> list[FoldFrame]:
