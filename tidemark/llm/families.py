@@ -6,7 +6,8 @@ an equality on its own.) Each edit falls into one of a few ranges of B, so A and
 shifted by the deletions before it. Every line names what is outside of each two ranges, as B and as A, by a hash of (kind, ranges,
 text); lines of one name and kind are candidates.
 
-* A name that few lines share gives its pairs.
+* A name that few lines share gives its pairs, of lines whose units differ in number as little as two edits allow (``sign``): the others
+  are not sent on to be compared.
 * A name that many share is cut anew: each of its two ranges into parts, which give finer names, and only those lines
   name them. Ranges end as single units (substitutions) or as gaps between units (deletions). Then all lines of a name
   are two edits or fewer from any of them that has the part of B, so they are linked to one of these, without pairs.
@@ -33,7 +34,7 @@ _DELETES = ((0, 0), (1, 0), (0, 1), (1, 1))
 _TABLES = np.random.default_rng(9).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _BASES = (0x9FB21C651E98DF25 | 1, 0xA24BAED4963EE407 | 1)
 _MASK = ["kind", "own", "size", "a1", "b1", "a2", "b2"]
-_SCHEMA = ("h1 long, h2 long, root long, kind byte, own boolean, size int, a1 int, b1 int, a2 int, b2 int, p long, q long, done boolean")
+_SCHEMA = ("h1 long, h2 long, root long, sign long, kind byte, own boolean, size int, a1 int, b1 int, a2 int, b2 int, p long, q long, done boolean")
 
 
 class Prefixes:
@@ -70,6 +71,14 @@ class Prefixes:
         return out[0], out[1]
 
 
+def sign(line: bytes | str) -> int:
+    """For each of 64 classes of units, whether their number is odd. One edit changes two of these bits at most."""
+    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") if isinstance(line, str) else np.frombuffer(line, np.uint8)
+    with np.errstate(over="ignore"):
+        places = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    return int(np.bitwise_xor.reduce(np.uint64(1) << places).view(np.int64)) if len(x) else 0
+
+
 def first_masks(n: int, least: int) -> np.ndarray:
     """Masks of a whole line of ``n`` units: as the shorter line of each kind, and as the longer one."""
     rows = []
@@ -130,8 +139,8 @@ def _rows(members: DataFrame, units: Callable[[bytes], bytes | str], least: int)
                 k = len(masks)
                 ids = [pa.array(np.full(k, columns[j][i])) for j in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(masks[:, 0].astype(np.int8)), pa.array(masks[:, 1].astype(bool)), *(pa.array(masks[:, j].astype(np.int32)) for j in range(2, 7)),
-                     pa.array(p), pa.array(q), pa.array(is_done(masks))], names=["h1", "h2", "root", *_MASK, "p", "q", "done"])
+                    [*ids, pa.array(np.full(k, sign(line))), pa.array(masks[:, 0].astype(np.int8)), pa.array(masks[:, 1].astype(bool)), *(pa.array(masks[:, j].astype(np.int32)) for j in range(2, 7)),
+                     pa.array(p), pa.array(q), pa.array(is_done(masks))], names=["h1", "h2", "root", "sign", *_MASK, "p", "q", "done"])
     return members.select("id.h1", "id.h2", "root", "body", *(["masks"] if given else [])).mapInArrow(run, _SCHEMA)
 
 
@@ -148,9 +157,9 @@ def pairs(lines: DataFrame, units: Callable[[bytes], bytes | str], least: int, b
         met = write(rows.join(groups.hint("merge"), ["p", "q"]), "masked")
         star = met.where(F.col("done") & (F.col("root") != F.col("centre.root"))).select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
         few = met.where((~F.col("done")) & (F.col("n") <= bucket))
-        left = few.where("own").select("p", "q", F.col("id").alias("a"), F.col("root").alias("r"))
-        right = few.select("p", "q", F.col("id").alias("b"), "root", "own", "kind")
-        cold = left.join(right, ["p", "q"]).where("r <> root and (not own or (kind = 0 and a < b))").select("a", "b")
+        left = few.where("own").select("p", "q", F.col("id").alias("a"), F.col("root").alias("r"), F.col("sign").alias("s"))
+        right = few.select("p", "q", F.col("id").alias("b"), "root", "own", "kind", "sign")
+        cold = left.join(right, ["p", "q"]).where("r <> root and (not own or (kind = 0 and a < b)) and bit_count(s ^ sign) <= 4").select("a", "b")
         found.append(write(star.union(cold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "mask-pairs"))
         crowded = met.where((~F.col("done")) & (F.col("n") > bucket))
         masks = crowded.groupBy("id").agg(F.collect_set(F.struct(*_MASK)).alias("masks"))

@@ -63,6 +63,15 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
         x = wider
         made.update({c: (block,) for c in wider.columns if c not in before})
 
+    # Joins on the person and on the row come first: they shuffle the rows, which are still narrow then.
+    early = {}
+    for block, on, attach in (("person_history", groups.person_history, lambda: x.join(fitted.people.withColumn("has_prior_history", F.lit(1)), PERSON, "left")),
+                              ("recency", groups.recency, lambda: lookback.recency_intensity(x, fitted.history)),
+                              ("quality", groups.quality, lambda: lookback.topic_novelty(x, fitted.history))):
+        before, made = made, {}
+        if on:
+            extend(attach(), block)
+        early[block], made = made, before
     if groups.direct:
         extend(encoding.attach_codes(x, fitted.codes, CATEGORICAL), "direct")
         add({c: F.col(c).cast("int") for c in BINARY}, "direct")
@@ -79,18 +88,14 @@ def transform(rows: DataFrame, fitted: FittedTables, groups: FeatureGroups = VET
         extend(encoding.attach_codes(x, fitted.codes, [TRAINER], {TRAINER: "trainer_encoded"}), "trainer")
         add({"has_multiple_trainers": F.coalesce(F.col(TRAINER).contains(",").cast("int"),
                                                  F.lit(0))}, "trainer")
-    if groups.person_history:
-        extend(x.join(fitted.people.withColumn("has_prior_history", F.lit(1)), PERSON, "left"), "person_history")
+    made.update(early["person_history"])
     if groups.aggregates or groups.confidence:
         before = set(x.columns)
         x = profiles.attach_all(x, fitted.keys)
         made.update({c: profiles.blocks_of(c) for c in x.columns if c not in before})
     if groups.interactions:
         extend(interactions(x), "interactions")
-    if groups.recency:
-        extend(lookback.recency_intensity(x, fitted.history), "recency")
-    if groups.quality:
-        extend(lookback.topic_novelty(x, fitted.history), "quality")
+    made.update(early["recency"] | early["quality"])
     return x.select(*carried, *[F.coalesce(F.col(c), F.lit(0)).alias(c.removesuffix("_code"), metadata={_BLOCKS: list(blocks)})
                                 for c, blocks in made.items()])
 
