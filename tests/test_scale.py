@@ -42,3 +42,17 @@ def test_leaves_are_those_of_a_walk_down_the_tree():
                 at = 2 * at + (1 if row[tree.feature[at]] <= tree.threshold[at] else 2)
             found.append(at - inner)
         assert tree.leaves(boosting.Columns(x)).tolist() == found
+
+
+def test_rows_are_shuffled_by_person_before_they_grow(spark, sf_dir, monkeypatch):
+    from tidemark.config import MINIMAL
+    from tidemark.operators import lookback
+    from tidemark.plans import matrix
+    from tidemark.sources.training_log import TrainingLog
+    log, seen = TrainingLog(spark, sf_dir), []
+    groups = MINIMAL.but(recency=True, quality=True)
+    for name in ("recency_intensity", "topic_novelty"):
+        own = getattr(lookback, name)
+        monkeypatch.setattr(lookback, name, lambda probe, history, own=own: seen.append(probe.columns) or own(probe, history))
+    matrix.transform(log.train, matrix.fit(log.prior, log.train, groups), groups)
+    assert len(seen) == 2 and all("gender_code" not in c and "trainer_encoded" not in c for c in seen)
