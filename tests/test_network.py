@@ -72,3 +72,25 @@ def test_class_weights_are_capped_and_rows_not_copied(spark, rows):
     finally:
         network._pass = real
     assert all(w.tolist() == [25.0, 1.0, 1.0] for w in seen.values())
+
+
+def test_packed_rows_are_the_rows(spark, rows):
+    got = {}
+    for batch in network.packed(rows).toArrow().combine_chunks().to_batches():
+        assert max(len(b) for b in batch.column("y").to_pylist()) <= network._RECORD * 3 * 8
+        for f, train, x, y in network._runs(batch):
+            got.setdefault((f, train), []).extend(map(tuple, np.hstack([x, y]).tolist()))
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r.fold, r.train), []).append((*r.x, *r.y))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    nets, weights = {f: network.Network.start(3, (8,), f) for f in (1, 2)}, {f: np.ones(3) for f in (1, 2)}
+    plain, short = network._pass(rows, nets, weights), network._pass(network.materialise(network.packed(rows), "packed"), nets, weights)
+    assert all(np.allclose(a, b) for f in nets for a, b in zip(plain[f], short[f]))
+
+
+def test_passes_read_packed_rows(spark, rows, monkeypatch):
+    seen, real = [], network._pass
+    monkeypatch.setattr(network, "_pass", lambda r, n, w: seen.append(dict(r.dtypes)["x"]) or real(r, n, w))
+    network.fit(rows, (4,), steps=2)
+    assert seen and set(seen) == {"binary"}

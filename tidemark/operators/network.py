@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CLIP_HIGH, CLIP_LOW, MAX_CLASS_WEIGHT, SEED
 from tidemark.operators.blending import BINS, histogram, share
+from tidemark.sources.workspace import materialise
 
 # Published layers, weight decay, patience, least gain and weights of the interval losses.
 HIDDEN, DECAY, PATIENCE, LEAST_GAIN = (128, 64), 1e-4, 15, 1e-4
 INTERVAL_WEIGHTS = np.array([0.8, 0.1, 0.1])
+#: Rows of a packed record, and rows that go through the layers at once, so that these stay in a core's cache.
+_RECORD, _CHUNK = 64, 512
 
 
 @dataclass
@@ -51,9 +54,10 @@ class Network:
         """The heads' log-odds, and the inputs of each layer."""
         seen = [x]
         for i, (w, b) in enumerate(self.layers):
-            x = x @ w + b
+            x = x @ w
+            x += b
             if i + 1 < len(self.layers):
-                x = np.maximum(x, 0)
+                np.maximum(x, 0, out=x)
                 seen.append(x)
         return x, seen
 
@@ -68,7 +72,8 @@ class Network:
         for i in range(len(self.layers) - 1, -1, -1):
             parts[:0] = [(seen[i].T @ back).ravel(), back.sum(0)]
             if i:
-                back = (back @ self.layers[i][0].T) * (seen[i] > 0)
+                back = back @ self.layers[i][0].T
+                back *= seen[i] > 0
         return float(loss), np.concatenate(parts)
 
     def cumulative(self, x: np.ndarray) -> np.ndarray:
@@ -81,25 +86,65 @@ def _block(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``fold, train, x, y`` with up to ``_RECORD`` rows of one fold and side a record, their numbers as bytes.
+
+    Passes read the rows many times; as bytes they reach the tasks without being taken apart and put together by value.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, train = batch.column("fold").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            x, y = _block(batch.column("x")).astype(float), _block(batch.column("y")).astype(float)
+            for f in np.unique(fold).tolist():
+                for side in (True, False):
+                    some = np.flatnonzero((fold == f) & (train == side))
+                    cuts = [some[lo:lo + _RECORD] for lo in range(0, len(some), _RECORD)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f] * len(cuts), pa.int64()), pa.array([side] * len(cuts), pa.bool_()),
+                         pa.array([x[c].tobytes() for c in cuts], pa.binary()), pa.array([y[c].tobytes() for c in cuts], pa.binary())],
+                        names=["fold", "train", "x", "y"])
+    return rows.select("fold", "train", "x", "y").mapInArrow(pack, "fold long, train boolean, x binary, y binary")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The numbers of neighbouring records, which lie side by side in their batch."""
+    at = np.frombuffer(column.buffers()[1], np.int32)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[column.offset]:at[column.offset + len(column)]].view(float)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Fold, side, x and y of the rows of neighbouring records with one fold and side."""
+    fold, train = batch.column("fold").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero((np.diff(fold) != 0) | (train[1:] != train[:-1])) + 1).tolist(), len(fold)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            x, y = (_numbers(batch.column(c).slice(lo, hi - lo)) for c in ("x", "y"))
+            n = len(y) // 3
+            yield int(fold[lo]), bool(train[lo]), x.reshape(n, -1), y.reshape(n, 3)
+
+
 def _pass(rows: DataFrame, nets: dict[int, Network], weights: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per fold: loss, rows and gradient of the training rows in one vector, and the histogram of the validation rows."""
+    """Per fold: loss, rows and gradient of the training rows in one vector, and the histogram of the validation rows.
+
+    ``rows`` may be packed.
+    """
     size = {f: n.flat().size + 2 for f, n in nets.items()}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {f: np.zeros(size[f] + 3 * (2 * BINS + 1)) for f in nets}
         for batch in batches:
-            fold, train = batch.column("fold").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            x, y = _block(batch.column("x")).astype(float), _block(batch.column("y"))
-            for f, net in nets.items():
-                some = np.flatnonzero((fold == f) & train)
-                for lo in range(0, len(some), 4096):
-                    at = some[lo:lo + 4096]
-                    z = np.diff(y[at], axis=1, prepend=0)
-                    loss, g = net.gradient(x[at], z, weights[f])
-                    total[f][:size[f]] += np.concatenate([[loss, len(at)], g])
-                val = np.flatnonzero((fold == f) & ~train)
-                if len(val):
-                    total[f][size[f]:] += histogram(net.cumulative(x[val]), y[val]).ravel()
+            for f, train, x, y in _runs(batch):
+                out, net = total[f], nets[f]
+                if not train:
+                    p = np.concatenate([net.cumulative(x[lo:lo + _CHUNK]) for lo in range(0, len(x), _CHUNK)])
+                    out[size[f]:] += histogram(p, y).ravel()
+                    continue
+                z = np.diff(y, axis=1, prepend=0)
+                for lo in range(0, len(x), _CHUNK):
+                    loss, g = net.gradient(x[lo:lo + _CHUNK], z[lo:lo + _CHUNK], weights[f])
+                    out[0] += loss
+                    out[2:size[f]] += g
+                out[1] += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["f", "t"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -107,7 +152,8 @@ def _pass(rows: DataFrame, nets: dict[int, Network], weights: dict[int, np.ndarr
         for t in group.column("t").to_pylist():
             out = out + np.frombuffer(t)
         return pa.table({"f": group.column("f").slice(0, 1), "t": pa.array([out.tobytes()], pa.binary())})
-    parts = rows.where(F.col("fold").isin(list(nets))).mapInArrow(sums, "f long, t binary").withColumn("salt", F.spark_partition_id() % 32)
+    blocks = rows if dict(rows.dtypes)["x"] == "binary" else packed(rows)
+    parts = blocks.where(F.col("fold").isin(list(nets))).mapInArrow(sums, "f long, t binary").withColumn("salt", F.spark_partition_id() % 32)
     # Partial sums have one size; the salt bounds how many meet in a task.
     parts = parts.groupBy("f", "salt").applyInArrow(add, "f long, t binary").groupBy("f").applyInArrow(add, "f long, t binary")
     out = {}
@@ -127,6 +173,7 @@ def fit(rows: DataFrame, hidden: tuple[int, ...] = HIDDEN, rate: float = 5e-3, s
         pos = np.diff([0.0, r["a"], r["b"], r["c"]])
         weights[r["fold"]] = np.where(pos > 0, np.clip((r["n"] - pos) / np.maximum(pos, 1), 1, MAX_CLASS_WEIGHT), 1.0)
         nets[r["fold"]] = Network.start(r["width"], hidden, seed)
+    rows = materialise(packed(rows), "packed")
     flat = {f: n.flat() for f, n in nets.items()}
     first, second = {f: np.zeros_like(v) for f, v in flat.items()}, {f: np.zeros_like(v) for f, v in flat.items()}
     best = {f: (-np.inf, 0, nets[f]) for f in nets}
@@ -161,7 +208,9 @@ def score(rows: DataFrame, nets: dict[int, Network], out: list[str], keep: list[
             p = np.zeros((len(fold), 3))
             for f in np.unique(fold).tolist():
                 some = np.flatnonzero(fold == f)
-                p[some] = nets[f].cumulative(x[some])
+                for lo in range(0, len(some), _CHUNK):
+                    at = some[lo:lo + _CHUNK]
+                    p[at] = nets[f].cumulative(x[at])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("fold", *keep)] + [pa.array(np.ascontiguousarray(c)) for c in p.T], names=names)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("fold", *keep)] + [f"`{p}` double" for p in out])
