@@ -65,3 +65,14 @@ def test_rows_of_all_folds_are_joined_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(workspace, "shared", lambda spark, key, build, partition_by=None: workspace.materialise(build(), "test"))
     monkeypatch.setattr(TrainingLog, "rows", lambda self, held=log.rows(): held)
     assert len(oof.fold_frames(spark, sf_dir)) == 5 and len(seen) == 1
+
+
+def test_test_rows_by_fold_equal_direct_builds(spark, sf_dir):
+    log = TrainingLog(spark, sf_dir)
+    found = oof.test_matrices(log)
+    files = {tuple(x.inputFiles()) for x in found.values()}
+    assert len(files) == 1  # joined once for all folds
+    for f in log_folds(log):
+        seen = in_training(f, F.col(DAY))
+        want = matrix.transform(log.test, matrix.fit(log.prior.where(seen), log.train.where(seen), MINIMAL), MINIMAL)
+        assert found[f.number].columns == want.columns and _rows(found[f.number]) == _rows(want)
