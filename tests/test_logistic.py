@@ -60,3 +60,34 @@ def test_category_ablation_runs_few_jobs(spark, sf_dir):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found["all"]["impact"] == 0 and len(found) > 10 and len(jobs) < 600
+
+
+def test_nets_of_all_folds_equal_spark(spark):
+    """The minimum of Spark's loss with both penalties, on scaled columns and on columns as they are, by fold and label."""
+    rows = _rows(spark).withColumn("two", (F.col("b") + F.col("c") > 1).cast("int") * F.col("y")).withColumn("zero", F.lit(0))
+    rows = rows.withColumn("a", F.col("a") - 2000).withColumn("twice", F.col("twice") / 2 - 2000)
+    columns, frames = ["a", "b", "c", "same", "twice"], [(f, rows.where(F.col("fold") != f).drop("fold")) for f in (1, 2, 3)]
+    for share, scaled, penalty in ((0.3, False, 0.02), (0.0, True, 0.002), (1.0, True, 0.01)):
+        got = logistic.fit_frames(frames, columns, ["y", "two", "zero"], dict.fromkeys((1, 2, 3), penalty), share, scaled)
+        assert set(got) == {(f, y) for f in (1, 2, 3) for y in ("y", "two", "zero")}
+        assert all(got[f, "zero"][1] == -np.inf for f in (1, 2, 3))
+        for f, train in frames[1:2]:
+            for y in ("y", "two"):
+                ready = models.vectors(train, columns)
+                want = LogisticRegression(labelCol=y, maxIter=5000, tol=1e-14, regParam=penalty, elasticNetParam=share, standardization=scaled).fit(ready)
+                both = models.score_with(want, ready, "p").withColumn("mine", logistic.probability(columns, *got[f, y])).select("p", "mine").collect()
+                assert len(both) == 600 and np.allclose([r["mine"] for r in both], [r["p"] for r in both], atol=2e-5)
+
+
+def test_a_harness_run_fits_linear_models_together(spark, monkeypatch):
+    """No model of its own per fold and label, each of which would hold its fold's rows; the scores are those models' scores."""
+    from tidemark.config import LABELS, SCORES
+    rows = _rows(spark).withColumn("row_id", F.monotonically_increasing_id()).drop("fold")
+    rows = rows.withColumns({y: F.col("y") for y in LABELS.values()}).withColumn("role", F.when(F.col("row_id") % 3 == 0, "val").otherwise("train")).cache()
+    frames = [models.FoldFrame(f, rows, ["a", "b", "c"]) for f in (1, 2)]
+    learner = models.linear("elastic", 0.5, 0.3, 600, standardised=False)
+    want = learner.make("y").setTol(1e-12).setMaxIter(1000).fit(models.vectors(frames[0].train(), ["a", "b", "c"]))
+    want = {r["row_id"]: r["p"] for r in models.score_with(want, models.vectors(frames[0].val(), ["a", "b", "c"]), "p").collect()}
+    monkeypatch.setattr(models, "fit_targets", None)
+    out = models.out_of_fold(frames, learner).collect()
+    assert len(out) == 2 * len(want) and all(abs(r[p] - want[r["row_id"]]) < 1e-5 for r in out for p in SCORES.values())
